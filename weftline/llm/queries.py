@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import byte_bpe
+from weftline.llm import byte_bpe, packing
 from weftline.llm.common import table
 
 
@@ -14,5 +14,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op7_byte_bpe,)}
+def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op4_pack_documents, op7_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
