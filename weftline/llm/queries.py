@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, packing, simhash
+from weftline.llm import byte_bpe, packing, simhash, suffix_dedup
 from weftline.llm.common import table
 
 
@@ -20,10 +20,14 @@ def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_pack_documents, op7_byte_bpe, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op4_pack_documents, op7_byte_bpe, op8_suffix_dedup, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
