@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, packing, pii, quality_rules, simhash, suffix_dedup
+from weftline.llm import byte_bpe, packing, pii, quality_rules, simhash, suffix_dedup, toxicity
 from weftline.llm.common import table
 
 
@@ -37,5 +37,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_pack_documents, op5_quality_rules, op6_pii, op7_byte_bpe, op8_suffix_dedup, op9_simhash)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op4_pack_documents, op5_quality_rules, op6_pii, op7_byte_bpe, op8_suffix_dedup, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
