@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, packing, pii, quality_rules, simhash, suffix_dedup, toxicity
+from weftline.llm import byte_bpe, chat_format, packing, pii, quality_rules, simhash, suffix_dedup, toxicity
 from weftline.llm.common import table
 
 
@@ -23,6 +23,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
+
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -42,5 +51,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op4_pack_documents, op5_quality_rules, op6_pii, op7_byte_bpe, op8_suffix_dedup, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_chat_format, op4_pack_documents, op5_quality_rules, op6_pii, op7_byte_bpe, op8_suffix_dedup, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

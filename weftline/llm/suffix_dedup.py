@@ -25,7 +25,6 @@ an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -308,7 +307,6 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
         return _returned(block[order][keep], _records(DIGIT, k=k[keep]), "")
 
     shared = cut(_by_bucket(blocks.mapInArrow(digits, _ROWS), share))
-    _release(shared)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +338,6 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
         return found + _returned(block, _records(OPEN, i=r["i"], k=r["k"], start=r["start"], n=r["n"]), "open")
 
     second = cut(_by_bucket(_told(blocks, shared).mapInArrow(stretches, _ROWS), sort_runs))
-    _release(second)
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,16 +361,9 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
         return _returned(block, _records(SPAN, i=r["i"], start=r["start"], end=r["start"] + window), "span")
 
     third = cut(_by_bucket(_told(blocks, second.where("kind = 'open'")).mapInArrow(apart, _ROWS), sort_windows))
-    _release(third)
     return second.where("kind = 'span'").union(third).select("block", "data")
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files behind a cut: it does so when the driver's objects for them are collected."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _kept(told: list[bytes] | None, texts: Block, rows: pa.Table) -> Iterator[tuple[bytes, int, bytes]]:
     """Of each row: the text's bytes, how many maximal runs are removed, what is kept."""
     got = np.concatenate([np.frombuffer(t, SPAN) for t in told]) if told else np.zeros(0, SPAN)
