@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, chat_format, embedding_dedup, packing, pii, quality_rules, simhash, suffix_dedup, toxicity
+from weftline.llm import byte_bpe, chat_format, embedding_dedup, license_scan, packing, pii, quality_rules, simhash, suffix_dedup, toxicity
 from weftline.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -55,5 +59,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_chat_format, op4_pack_documents, op5_quality_rules, op6_pii, op7_byte_bpe, op8_suffix_dedup, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_license_scan, op3_chat_format, op4_pack_documents, op5_quality_rules, op6_pii, op7_byte_bpe, op8_suffix_dedup, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
