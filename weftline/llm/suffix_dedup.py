@@ -395,7 +395,7 @@ def digest_documents(docs: DataFrame, window: int = 50, bytes_a_block: int = BLO
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """docs with repeated windows taken out of text. Where a cut falls inside a character, its left-over bytes go too."""
+    """docs with repeated windows taken out of text, n_chars following. Left-over bytes of a character cut in two go too."""
     blocks = blocks_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,4 +406,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 rows = rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
                 yield from rows.combine_chunks().to_batches()
 
-    return _told(blocks, repeated_spans(blocks, window), "left").mapInArrow(run, docs.schema)
+    out = _told(blocks, repeated_spans(blocks, window), "left").mapInArrow(run, docs.schema)
+    if "n_chars" not in docs.columns:
+        return out
+    size = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+    return out.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
