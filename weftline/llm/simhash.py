@@ -109,19 +109,19 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > len(each), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and fp (the fingerprint's 64 bits as a signed long) for each row."""
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys and fp (the fingerprint of text, its 64 bits as a signed long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.zeros(batch.num_rows, np.uint64)
             for k in range(0, batch.num_rows, 256):
-                for i, value in enumerate(batch.column(1).slice(k, 256).to_pylist()):
+                for i, value in enumerate(batch.column(len(keys)).slice(k, 256).to_pylist()):
                     prints[k + i] = fingerprint(value)
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], [key, "fp"])
+            yield pa.record_batch([*batch.columns[: len(keys)], pa.array(prints.view(np.int64))], [*keys, "fp"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, fp long")
+    kinds = "".join(f"{k} {docs.schema[k].dataType.simpleString()}, " for k in keys)
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}fp long")
 
 
 def _linked(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -195,12 +195,20 @@ def links(prints: DataFrame, wide: bool = False) -> DataFrame:
     return pairs.mapInArrow(verify, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs: the least doc_id that a chain of links reaches."""
-    each = cut(fingerprints(docs))
+def near_duplicates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys (doc_id among them), fp, component_id for each row of docs: the least doc_id that a chain of links reaches."""
+    each = cut(fingerprints(docs, keys))
     nodes = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(links(nodes, nodes.count() > WIDE_FROM))
     named = nodes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(named.join(least, "component").select("fp", "component_id"))
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    return each.join(named, "fp").select(*keys, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that their component is named after, each once. Rows without an id can't be named and stay."""
+    own = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = near_duplicates(own.where("doc_id is not null"), ("doc_id", "_th")).where("doc_id = component_id").select("doc_id", "_th")
+    kept = own.where("doc_id is not null").join(found, ["doc_id", "_th"], "left_semi").dropDuplicates(["doc_id", "_th"])
+    return kept.unionByName(own.where("doc_id is null")).select(*docs.columns)
