@@ -73,9 +73,9 @@ def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DEDUPED = "d as (select envelope_id, array_key, item_type, arg_min(id, pos) as id, min(pos) as pos, content, case when count(*) > 1 then max(coalesce(priority, 0)) else arg_min(priority, pos) end as priority, arg_min(relevance, pos) as relevance, list_sort(list_distinct(flatten(list(tags)))) as tags, cast(count(*) as bigint) as n from {0} group by envelope_id, array_key, item_type, content)"
 
 
-@query("dedupe_exact", _I + "," + _DEDUPED.format("i") + " select envelope_id, array_key, id, cast(case when n > 1 then priority else (select i.priority from i where i.id = d.id) end as bigint) as priority, array_to_string(tags, ',') as tags, n from d")
+@query("dedupe_exact", _I + "," + _DEDUPED.format("i") + " select envelope_id, array_key, id, cast(coalesce(case when n > 1 then priority else (select i.priority from i where i.id = d.id) end, -1) as bigint) as priority, array_to_string(tags, ',') as tags, n from d")
 def dedupe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.dedupe(items(spark, sf_dir)).select("envelope_id", "array_key", "id", F.col("priority").cast("long").alias("priority"), _joined("tags").alias("tags"), "n")
+    return op.dedupe(items(spark, sf_dir)).select("envelope_id", "array_key", "id", F.coalesce("priority", F.lit(-1)).cast("long").alias("priority"), _joined("tags").alias("tags"), "n")
 
 
 @query("dedupe_dropped", _I + "select id from (select id, row_number() over (partition by envelope_id, array_key, item_type, content order by pos) as r from i) where r > 1")
