@@ -101,6 +101,7 @@ def parse_delimited(text: str, delimiter: str = ",") -> tuple[str | None, list[d
 class _Html(HTMLParser):
     DROP = frozenset("script style noscript template iframe object embed nav svg".split())
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+    ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main ol p pre section table ul".split())
     BLOCK = frozenset("h1 h2 h3 h4 h5 h6 p li pre blockquote".split())
 
     def __init__(self) -> None:
@@ -119,7 +120,7 @@ class _Html(HTMLParser):
             return
         if tag == "title" and self.title is None:
             self.title = []
-        if tag in ("p", "li", *[f"h{k}" for k in range(1, 7)]) and self.open and self.open[-1][0] == tag:
+        if self.open and (self.open[-1][0] == "p" and tag in self.ENDS_P or self.open[-1][0] == tag == "li"):
             self.open.pop()  # an implied end
         if tag == "table":
             self.table = [[]]
@@ -128,6 +129,8 @@ class _Html(HTMLParser):
             self.table.append([])
         elif tag in ("td", "th") and self.table is not None:
             self.table[-1].append([])
+        if tag in ("ul", "ol"):
+            self.open.append([tag, []])  # items of a list inside an item don't end it
         if tag in self.BLOCK:
             block = [tag, []]
             self.open.append(block)
