@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.chunk_cache import ChunkCache
-from weftline.llm.common import cut
+from weftline.llm.common import cut, give_back
 
 
 def ranks_of(vocabulary: str) -> dict[bytes, int]:
@@ -47,7 +47,7 @@ def ranks_of(vocabulary: str) -> dict[bytes, int]:
 @lru_cache(maxsize=2)
 def chunk_encoder(vocabulary: str, pattern: str) -> ChunkCache:
     one = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks_of(vocabulary), special_tokens={}).encode_ordinary
-    return ChunkCache(lambda chunks: (np.array(one(c), "<u4").tobytes() for c in chunks), pattern)
+    return ChunkCache(lambda chunks: (np.array(one(c), "<u4").tobytes() for c in chunks), pattern, 300_000)
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_id: int = 2) -> DataFrame:
@@ -60,6 +60,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part, seen = chunk_encoder(vocabulary, pattern), TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
+            give_back()
             rows: list[tuple] = []
             texts = (t for k in range(0, batch.num_rows, 512) for t in batch.column(1).slice(k, 512).to_pylist())
             for i, ids in enumerate(codec.encode(texts)):

@@ -88,6 +88,8 @@ def measure(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B
             "n_repeat_words": _n_repeat_words(F.col("_words")).cast("long"),
             "_chars": chars,
             "_common": common,
+            # a filter on the verdict isn't pushed below a column like this one, where it would repeat the measures
+            "_row": F.monotonically_increasing_id(),
         }
     )
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
@@ -144,6 +146,6 @@ def judge_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  #
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """The rows of docs that pass, with their own columns. Reads docs twice: only the histograms the first time."""
-    named = docs.select(F.struct("*").alias("_row"), "text", "lang")
+    named = docs.select(F.struct("*").alias("_own"), "text", "lang")
     refs = cut(references(measure(docs.select("text", "lang"), limits).select("_key", "_chars", "_common", "n_words"), limits))
-    return judge(measure(named, limits), refs, limits).where("kept").select("_row.*")
+    return judge(measure(named, limits), refs, limits).where("kept and _row >= 0").select("_own.*")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, give_back
 from weftline.llm.components import connected_components, stars
 
 SEGMENTS = {"A": (0, 23), "B": (23, 23), "R": (46, 18)}
@@ -114,6 +114,7 @@ def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             prints = np.zeros(batch.num_rows, np.uint64)
             for k in range(0, batch.num_rows, 256):
                 for i, value in enumerate(batch.column(len(keys)).slice(k, 256).to_pylist()):
@@ -148,6 +149,7 @@ def links(prints: DataFrame, wide: bool = False) -> DataFrame:
                 own = batch.column(0).slice(k, 4096).to_numpy()
                 rows, keys = keys_of(own.view(np.uint64), wide)
                 yield pa.record_batch([pa.array(keys), pa.array(own[rows])], ["key", "fp"])
+            give_back()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, own = np.zeros(0, np.int64), np.zeros(0, np.uint64)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, give_back
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,7 +42,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,12 +279,13 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
     """(block, data) messages: SPAN records, the byte ranges covered by windows of a smaller document."""
-    bits = max(8, (max(1, blocks.count()) - 1).bit_length())
+    bits = max(8, max(1, blocks.count()).bit_length() - 1)  # some two blocks' worth of digits a bucket
     half = (window - gram + 1) // 2
 
     def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                give_back()
                 _, block, _, has = _opened(payload)
                 k, doc, *_ = _runs(block, has, window, gram)
                 order = np.lexsort((doc, k))
@@ -311,6 +312,7 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload, told in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                give_back()
                 _, block, ids, has = _opened(payload)
                 k, doc, first, many, at = _runs(block, has, window, gram)
                 live = np.isin(k & ~np.uint64(1), np.concatenate([np.frombuffer(t, np.uint64) for t in told]))
@@ -342,6 +344,7 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload, told in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                give_back()
                 _, block, ids, _ = _opened(payload)
                 r = np.concatenate([np.frombuffer(t, OPEN) for t in told])
                 many = r["n"].astype(np.int64)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import cut
+
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_~`^+=/\\"
 _END = "\0"  # after a whole word, so that a word and its beginning are different entries
 _BEGINNINGS = range(3, 9)
@@ -77,22 +79,28 @@ class Voters:
         return [*(i in hits for i in range(len(self._at))), *(n >= d * length and n > 0 for d in _DENSITIES), n >= 2, n >= 3, shouting, text.count("!") * 20 > len(text) > 20, bool(re.search(r"(\w)\1{4}", text))]
 
 
-def _toxic_entries(sample: DataFrame, most: int, support: int) -> list[str]:
+def _toxic_entries(sample: DataFrame, most: int, support: int, candidates: int = 20_000) -> list[str]:
     """Words and beginnings of labelled texts (text, toxic) by lower bounds of their log odds among words and among texts."""
-    stripped = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.btrim(w, F.lit(_STRIP)))
-    words = sample.withColumn("_id", F.monotonically_increasing_id()).select("_id", "toxic", F.explode(stripped).alias("w")).where("w != ''")
-    words = words.groupBy("_id", "toxic", "w").agg(F.count("*").alias("c"))
-    whole = words.agg(F.sum(F.col("c") * F.col("toxic")).alias("t"), F.sum("c").alias("n")).first()
-    if not whole.n or not whole.t or whole.t == whole.n:
+    words = F.filter(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.btrim(w, F.lit(_STRIP))), lambda w: w != "")
+    sample = sample.select("toxic", words.alias("words"))
+    texts = sample.agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), F.sum(F.size("words") * F.col("toxic")).alias("wt"), F.sum(F.size("words")).alias("wn")).first()
+    if not texts.n or not texts.t or texts.t == texts.n or not texts.wt:
         return []
-    parts = F.array(F.concat("w", F.lit(_END)), *[F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in _BEGINNINGS])
-    each = words.select("_id", "toxic", "c", F.explode(parts).alias("part")).where("part is not null")
-    each = each.groupBy("part", "_id", "toxic").agg(F.sum("c").alias("c"))
-    counts = each.groupBy("part").agg(F.sum(F.col("c") * F.col("toxic")).alias("t"), F.sum(F.col("c") * (1 - F.col("toxic"))).alias("f"), F.sum("toxic").alias("docs"), F.count("*").alias("all_docs")).where(F.col("docs") >= support)
-    texts = sample.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+
+    def parts(words: Column) -> Column:
+        each = lambda w: F.array(F.concat(w, F.lit(_END)), *[F.when(F.length(w) >= n, F.substring(w, 1, n)) for n in _BEGINNINGS])
+        return F.filter(F.flatten(F.transform(words, each)), lambda p: p.isNotNull())
+
+    # toxic texts name the candidates; sums are partial before each shuffle, so it carries a part once a task
+    some = sample.where("toxic = 1").select(F.explode(F.array_distinct(parts(F.col("words")))).alias("part")).groupBy("part").agg(F.count("*").alias("docs"))
+    some = some.where(F.col("docs") >= support).orderBy(F.desc("docs"), "part").limit(candidates)
+    named = F.broadcast(some.select("part"))  # at most `candidates` strings
+    tokens = sample.select("toxic", F.explode(parts(F.col("words"))).alias("part")).join(named, "part").groupBy("part").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("f"))
+    by_doc = sample.select("toxic", F.explode(F.array_distinct(parts(F.col("words")))).alias("part")).join(named, "part").groupBy("part").agg(F.sum("toxic").alias("docs"), F.count("*").alias("all_docs"))
+    counts = tokens.join(by_doc, "part")
     free = F.col("all_docs") - F.col("docs")
     by_text = F.log((F.col("docs") + 0.5) / (texts.t + 1)) - F.log((free + 0.5) / (texts.n - texts.t + 1)) - 2 * F.sqrt(1 / (F.col("docs") + 0.5) + 1 / (free + 0.5))
-    odds = F.log((F.col("t") + 0.5) / (whole.t + 1)) - F.log((F.col("f") + 0.5) / (whole.n - whole.t + 1))
+    odds = F.log((F.col("t") + 0.5) / (texts.wt + 1)) - F.log((F.col("f") + 0.5) / (texts.wn - texts.wt + 1))
     ranked = counts.withColumn("low", odds - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("f") + 0.5))).where((F.col("low") > 1.8) & (by_text > 1.0))
     found = {r.part: r for r in ranked.orderBy(F.desc("docs"), F.desc("low"), "part").limit(50 * most).collect()}
     # of nested entries: the longest that still has nearly all the toxic texts, then the shortest of those
@@ -155,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_lexico
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most max_rows pairs of numbers
+    sample = cut(sample)
     lexicon = tuple(_toxic_entries(sample, max_lexicon, support))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
