@@ -55,7 +55,7 @@ def wrap_untrusted(text: Column, level: Column, source: Column, item_id: Column)
 
 def item_text(content: Column, kind: Column, name: Column, role: Column, output: Column, triple: Column) -> Column:
     """content unless empty, else what the type has to say."""
-    other = F.when(kind.isin("Entity", "Tool"), name).when(kind == "Actor", F.coalesce(name, role)).when(kind == "ToolResult", output).when(kind == "Relationship", triple)
+    other = F.when(kind.isin("Task", "Entity", "ToolDefinition"), name).when(kind == "Actor", F.coalesce(name, role)).when(kind == "ToolResult", output).when(kind == "Relationship", triple)
     return F.coalesce(F.nullif(content, F.lit("")), other, F.lit(""))
 
 

@@ -74,7 +74,7 @@ def dedupe(items: DataFrame) -> DataFrame:
     """The first of the items of one type and content in an array: the group's highest priority if there are several, its tags together."""
     key = [*_GROUP, "item_type", F.coalesce("content", F.lit("")).alias("_content")]
     first = F.min_by(F.struct("id", "pos", "content", "status", "relevance", "trust_level", "sensitivity", "priority"), F.struct("pos", "id")).alias("f")
-    grouped = items.groupBy(*key).agg(first, F.max(F.coalesce("priority", F.lit(0))).alias("most"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), F.count("*").alias("n"))
+    grouped = items.groupBy(*key).agg(first, F.max(F.coalesce("priority", F.lit(0))).alias("most"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"), F.count("*").alias("n"))
     return grouped.select(*_GROUP, "item_type", "f.id", "f.pos", "f.content", "f.status", "f.relevance", "f.trust_level", "f.sensitivity", F.when(F.col("n") > 1, F.col("most")).otherwise(F.col("f.priority")).alias("priority"), "tags", "n")
 
 
@@ -156,36 +156,51 @@ def _prefix(items: DataFrame, size: str) -> DataFrame:
     return keyed.withColumn("_within", within).join(sums, [*_GROUP, "_stretch"]).withColumn("before", F.col("_ahead") + F.col("_within")).drop("_within", "_ahead", "_stretch")
 
 
-def section_limits(ranked: DataFrame, budget: int, caps: dict[str, int] | None = None) -> DataFrame:
-    """(envelope_id, array_key, room): what each section may use, earlier sections first."""
+_BIG = 2**62  # stands for no limit
+
+
+def limited(ranked: DataFrame, budget: int, caps: dict[str, int] | None = None) -> DataFrame:
+    """Adds _budget and _cap, the same for every envelope."""
+    cap = F.coalesce(*[F.when(F.col("array_key") == s, F.lit(c)) for s, c in (caps or {}).items()], F.lit(None)).cast("long")
+    return ranked.withColumns({"_budget": F.lit(budget).cast("long"), "_cap": cap})
+
+
+def section_limits(sized: DataFrame) -> DataFrame:
+    """(envelope_id, array_key, open, room, used): what is left when a section begins, after its required items, and what it takes.
+
+    sized has tokens, required, and _budget and _cap (null: none) of the envelope and the section; earlier sections come first.
+    """
     order = F.coalesce(*[F.when(F.col("array_key") == s, k) for k, s in enumerate(SECTIONS)])
-    big = F.lit(2**62).cast("long")
-    cap = F.coalesce(*[F.when(F.col("array_key") == s, F.lit(c).cast("long")) for s, c in (caps or {}).items()], big)
-    required = F.coalesce(F.sum(F.when(F.col("required"), F.col("tokens"))), F.lit(0))
-    sums = ranked.groupBy(*_GROUP).agg(F.coalesce(F.sum(F.when(~F.col("required"), F.col("tokens"))), F.lit(0)).alias("rest"), required.alias("must"))
-    ordered = sums.withColumns({"o": order, "cap": cap}).groupBy("envelope_id").agg(F.sort_array(F.collect_list(F.struct("o", "array_key", "cap", "rest", "must"))).alias("s"))  # at most one a section
+    total = lambda some: F.coalesce(F.sum(F.when(some, F.col("tokens"))), F.lit(0))
+    big = F.lit(_BIG).cast("long")
+    sums = sized.groupBy(*_GROUP).agg(total(~F.col("required")).alias("rest"), total(F.col("required")).alias("must"), F.coalesce(F.any_value("_cap"), big).alias("cap"), F.coalesce(F.any_value("_budget"), big).alias("budget"))
+    ordered = sums.withColumn("o", order).groupBy("envelope_id").agg(F.any_value("budget").alias("budget"), F.sort_array(F.collect_list(F.struct("o", "array_key", "cap", "rest", "must"))).alias("s"))  # at most one a section
 
     def step(acc: Column, x: Column) -> Column:
-        room = F.least(x["cap"] - x["must"], acc["left"] - x["must"])
+        first = F.least(x["cap"], acc["left"])
+        room = first - x["must"]
         used = x["must"] + F.greatest(F.lit(0).cast("long"), F.least(room, x["rest"]))
-        return F.struct((acc["left"] - used).alias("left"), F.concat(acc["out"], F.array(F.struct(x["array_key"].alias("array_key"), room.alias("room"), used.alias("used")))).alias("out"))
+        return F.struct((acc["left"] - used).alias("left"), F.concat(acc["out"], F.array(F.struct(x["array_key"].alias("array_key"), first.alias("open"), room.alias("room"), used.alias("used")))).alias("out"))
 
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.expr("cast(array() as array<struct<array_key:string,room:bigint,used:bigint>>)").alias("out"))
-    return ordered.select("envelope_id", F.explode(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("x")).select("envelope_id", "x.array_key", "x.room", "x.used")
+    start = F.struct(F.col("budget").alias("left"), F.expr("cast(array() as array<struct<array_key:string,open:bigint,room:bigint,used:bigint>>)").alias("out"))
+    return ordered.select("envelope_id", F.explode(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("x")).select("envelope_id", "x.*")
 
 
-def select_in_budget(ranked: DataFrame, budget: int, caps: dict[str, int] | None = None) -> DataFrame:
+def select_in_budget(ranked: DataFrame, budget: int | None = None, caps: dict[str, int] | None = None) -> DataFrame:
     """Adds kept_tokens and outcome (kept, truncated, over-budget, required) to ranked items (content, rank, required).
 
     With truncation the first item that doesn't fit takes exactly what is left, so a prefix sum decides each item.
+    Without a budget here, rows bring _budget and _cap of their own (and tokens, where their text isn't their content).
     """
-    sized = ranked.withColumn("tokens", scalar.token_estimate(F.coalesce("content", F.lit("")))).withColumn("_free", F.when(F.col("required"), F.lit(0)).otherwise(F.col("tokens")))
-    limits = section_limits(sized, budget, caps).select(*_GROUP, "room")
+    sized = ranked if "tokens" in ranked.columns else ranked.withColumn("tokens", scalar.token_estimate(F.coalesce("content", F.lit(""))))
+    sized = sized if budget is None else limited(sized, budget, caps)
+    sized = sized.withColumn("_free", F.when(F.col("required"), F.lit(0)).otherwise(F.col("tokens")))
+    limits = section_limits(sized).select(*_GROUP, "room")
     both = _prefix(sized, "_free").join(limits, list(_GROUP))
     left = F.greatest(F.lit(0).cast("long"), F.col("room") - F.col("before"))
     kept = F.when(F.col("required"), F.col("tokens")).otherwise(F.least("tokens", left))
     outcome = F.when(F.col("required"), "required").when((F.col("tokens") == 0) & (F.col("room") >= 0), "kept").when(kept == 0, "over-budget").when(kept < F.col("tokens"), "truncated").otherwise("kept")
-    return both.withColumns({"kept_tokens": kept, "outcome": outcome}).drop("_free", "before")
+    return both.withColumns({"kept_tokens": kept, "outcome": outcome}).drop("_free", "before", "_budget", "_cap")
 
 
 def select_whole(ranked: DataFrame, budget: int) -> DataFrame:

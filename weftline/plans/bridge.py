@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CASES = """
  case {i} % 5 when 0 then 'Fact' when 1 then 'Assumption' when 2 then 'Decision' when 3 then 'Resource' else 'Instruction' end as item_type,
@@ -36,3 +37,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when doc_id % 4 = 0 then cast(array() as array<string>) else array(concat('s', doc_id % 3)) end as scope",
         *[c.strip() for c in _CASES.format(i="doc_id").split(",\n")],
     ).selectExpr("*", "case when rule is null then cast(array() as array<struct<rule:string,applies_to:string>>) else array(named_struct('rule', rule, 'applies_to', applies_to)) end as handling")
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as JSON envelopes (document): turns, one or two instructions, here and there a tool result and a bad timestamp."""
+    turn = F.struct(F.concat_ws("-", F.lit("t"), "conv_id", "turn").alias("id"), F.lit("ConversationMessage").alias("@type"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null")
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t"), turn.alias("m")))), lambda x: x["m"])
+    grouped = rows.groupBy("conv_id").agg(turns.alias("conversation"))
+    i = F.col("conv_id")
+    instruction = lambda authority, text: F.struct(F.concat(F.lit(f"{authority}-"), i).alias("id"), F.lit("Instruction").alias("@type"), F.lit(authority).alias("authority"), F.lit(text).alias("content"))
+    system, developer = instruction("system", "Answer exactly."), instruction("developer", "Be brief.")
+    result = F.struct(F.concat(F.lit("r-"), i).alias("id"), F.lit("ToolResult").alias("@type"), F.lit("lookup").alias("toolName"), F.lit("success").alias("outcome"), F.lit("ok").alias("output"))
+    fields = [F.lit("urn:context:v1").alias("@context"), F.lit("ContextEnvelope").alias("@type"), F.lit("1.0.0").alias("schemaVersion"), F.concat(F.lit("c"), i).alias("id"), F.when(i % 5 == 0, "yesterday").otherwise("2026-01-01T00:00:00Z").alias("createdAt")]
+    fields += [F.when(i % 2 == 0, F.array(system, developer)).otherwise(F.array(system)).alias("instructions"), F.col("conversation"), F.when(i % 3 == 0, F.array(result)).alias("toolResults")]
+    return grouped.select(F.to_json(F.struct(*fields)).alias("document"))

@@ -6,6 +6,7 @@ error becomes the row's `error`, not the job's. Text and JSON lines stay in buil
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 import re
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.files import deadline
+
 SECTION = "struct<pos:int,title:string,section:string,content:string,row:int,page:int>"
 RESULT = f"struct<title:string,sections:array<{SECTION}>,error:string>"
 
@@ -346,6 +349,49 @@ def extract(content: Column, name: str, most_chars: int = 20 << 20) -> Column:
     return run(content)
 
 
+TEXT_FORMATS = ("text", "markdown", "json", "jsonl", "csv", "tsv", "html", "xml")
+
+
+def _jsonl(text: str) -> tuple[str | None, list[dict]]:
+    found = []
+    for line in re.split(r"\r\n|\r|\n", text):
+        if line.strip():
+            with contextlib.suppress(ValueError):
+                found.append(_section(0, json.dumps(json.loads(line), indent=2, ensure_ascii=False), section=f"$[{len(found)}]"))
+    return None, _listed(found)
+
+
+def extract_any(content: Column, text: Column, extractor: Column, most_chars: int = 20 << 20, most_sections: int = 50_000, seconds: float = 60.0, ocr: Callable[[bytes], list[str]] | None = None) -> Column:
+    """struct<title, sections, error> of inputs of mixed formats: text formats read text, the others content.
+
+    ocr gives the page texts of a PDF in which no text was found. A parser that takes too long fails its own document.
+    """
+    parsers = {**PARSERS, "text": lambda t: (None, [_section(0, t)]), "jsonl": _jsonl}
+
+    @F.pandas_udf(RESULT)
+    def run(contents: pd.Series, texts: pd.Series, names: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data, decoded, name in zip(contents, texts, names, strict=True):
+            given = decoded if name in TEXT_FORMATS else data
+            try:
+                if name is None or given is None:
+                    raise ValueError("nothing to read")
+                if len(given) > most_chars:
+                    raise ValueError("too large")
+                with deadline(seconds):
+                    title, sections = parsers[name](given)
+                    if name == "pdf" and not sections and ocr is not None:
+                        sections = _listed([_section(0, t, page=i + 1) for i, t in enumerate(ocr(given)) if t.strip()])
+                if len(sections) > most_sections:
+                    raise ValueError("too many sections")
+                rows.append((title, sections, None))
+            except Exception as e:  # noqa: BLE001  (whatever a parser meets is the document's error)
+                rows.append((None, [], f"{type(e).__name__}: {e}"[:300]))
+        return pd.DataFrame(rows, columns=["title", "sections", "error"])
+
+    return run(content, text, extractor)
+
+
 def extract_text(text: Column) -> Column:
     """One section, the whole text."""
     return F.array(F.struct(F.lit(0).alias("pos"), text.alias("content")))
