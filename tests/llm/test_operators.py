@@ -172,6 +172,15 @@ def test_pii(spark):
     assert pii.find(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_pii_upper_case_shares_evidence(spark):
+    secrets = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(9)]
+    texts = [(k, f'key token = "{s}" end') for k, s in enumerate(secrets)] + [(50, f'KEY TOKEN = "{"0AF9" * 9}" END'), (51, f'A TOKEN = "{secrets[0].upper()}" B')]
+    found = by_id(pii.find(docs(spark, texts)))
+    assert (found[50].spans, found[51].spans) == ("secret:13:49", "secret:11:51")
+    loud = by_id(pii.find(docs(spark, [(k, f'MY TOKEN = "{s.upper()}"') for k, s in enumerate(secrets)])))
+    assert all(r.n_secret == 1 for r in loud.values())  # upper-case secrets are seeds themselves
+
+
 @pytest.mark.parametrize("size", [3000, 1 << 20])
 def test_suffix_dedup(spark, size):
     texts = corpus(60)

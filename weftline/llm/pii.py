@@ -4,7 +4,8 @@ Seeds are what fixed patterns find (emails, IP addresses, cards, phones) and lon
 just before an identifier-like token is its lexical pattern if it names a field (ends in ``= : " ' #`` or the
 like); patterns and token values form a graph. Rounds of scoring follow: a pattern's confidence is the mean
 score of its distinct values, times a factor that asks for several of them; a value's score is one for seeds,
-else the noisy-or of its patterns. Confident patterns then mark the values beside them, of whatever shape, as
+else the noisy-or of its patterns. Both are keyed without case, so a shouted text shares the evidence of others.
+Confident patterns then mark the values beside them, of whatever shape, as
 further identifiers. Patterns and values are keyed tables: sums are partial before each shuffle and only
 identifier-like tokens enter them, so prose costs one scan of regular expressions.
 
@@ -37,7 +38,7 @@ PATTERNS = {
 _HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Identifier-like tokens: 16 characters or more, judged further by their digits.
 TOKEN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9_+/@-])"
-SECRET = r"^[0-9a-f]{32,}$"
+SECRET = r"^(?i)[0-9a-f]{32,}$"
 #: The end of the text before a token that is its pattern: up to two words and what touches the token.
 CONTEXT = r"((?:[^\s\x00]{1,40}[ \t]{1,3}){0,2}[^\s\x00]{0,40})$"
 #: A pattern names a field: it holds a mark of assignment or quotation.
@@ -110,7 +111,7 @@ def _with_base(docs: DataFrame) -> DataFrame:
 
 
 def _context(before: Column) -> Column:
-    return F.regexp_extract(before, CONTEXT, 1)
+    return F.lower(F.regexp_extract(before, CONTEXT, 1))
 
 
 def patterns_of(based: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
@@ -118,7 +119,7 @@ def patterns_of(based: DataFrame, limits: Limits = Limits()) -> DataFrame:  # no
     keep = lambda s: s["before"].rlike(FIELD)
     seeds = F.transform(F.filter("_base", keep), lambda s: F.struct(s["value"].alias("value"), s["before"].alias("before"), F.lit(True).alias("seed")))
     tokens = F.transform(F.filter("_tokens", keep), lambda s: F.struct(s["value"].alias("value"), s["before"].alias("before"), s["value"].rlike(SECRET).alias("seed")))
-    each = based.select(F.explode(F.concat(seeds, tokens)).alias("e")).select("e.value", "e.seed", _context(F.col("e.before")).alias("context"))
+    each = based.select(F.explode(F.concat(seeds, tokens)).alias("e")).select(F.lower("e.value").alias("value"), "e.seed", _context(F.col("e.before")).alias("context"))
     edges = cut(each.where(F.col("context").rlike(FIELD)).groupBy("context", "value").agg(F.max("seed").alias("seed")))
     scores = edges.withColumn("score", F.col("seed").cast("double"))
     for _ in range(limits.rounds):
