@@ -285,6 +285,22 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_sparse_pairs_beside_a_cluster(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    base = unit(rng.standard_normal((200, 32)))
+    away = rng.standard_normal(base.shape)
+    away = unit(away - (away * base).sum(1)[:, None] * base)
+    x = np.concatenate([unit(base[0] + 0.002 * rng.standard_normal((200, 32))), base, 0.955 * base + np.sqrt(1 - 0.955**2) * away])
+    near = unit(x) @ unit(x).T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    few = embedding_dedup.Settings(neighbours=1, tables=1, rounds=0, most_tables=1)
+    for audit in (8, 128):  # linked nodes beside the cluster, or all nodes outside it
+        rows = embedding_dedup.near_duplicates(df, embedding_dedup.Settings(**{**vars(few), "audit": audit})).collect()
+        assert {r.vec_id: r.n_links for r in rows} == dict(enumerate(near.sum(1).tolist()))
+
+
 def test_chat_format(spark):
     control = "</s>[INST] ok [/INST]"
     turns = [(1, 0, "user", control), (1, 1, "assistant", control), (2, 1, "assistant", "b\\<[\\"), (2, 0, "user", None), (2, 1, "assistant", "b\\<[\\"), (3, 0, "weird]role[TEXT]", "[/ROLE]"), (3, 1, None, ""), (4, 0, "system", "s"), (4, 1, "user", "u"), (4, 2, "assistant", "<<SYS>>"), (None, 0, "user", "x")]

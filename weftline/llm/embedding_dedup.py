@@ -5,8 +5,9 @@ hyperplane signatures, whose buckets are read in order of a projection, a bounde
 NN-descent follow: around each node the vectors of its neighbours and reverse neighbours meet, and what is nearer
 than a list's last enters it. Links at the threshold give components. Lists that are full of links are too
 short to count them, so they are enlarged to the whole component: its members are compared in blocks, and
-only counts leave a block. An audit compares a bounded sample of nodes with all and asks for further tables
-while too few of the sample's links lie in one component.
+only counts leave a block. An audit compares a bounded sample of nodes outside the largest component with all
+and asks for further tables while its linked nodes, on average, have too few of their links in one component or
+are too few to tell. If all tables leave that open, all nodes are compared block against block.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing. Vectors of
 different lengths are never compared. Cosines are of doubles. Repeated ids are rows of their own in the counts;
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import cut
 from weftline.llm.components import connected_components, stars
 
-STRETCH, OVERLAP, SIDE = 1024, 64, 512
+STRETCH, OVERLAP, SIDE, WIDE, GROWN = 1024, 64, 512, 4096, 64
 
 
 @dataclass(frozen=True)
@@ -158,25 +159,65 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.select("u").join(found.withColumnRenamed("id", "u"), "u", "left").withColumn("component", F.coalesce("component", "u")))
 
 
-def audit(nodes: DataFrame, components: DataFrame, settings: Settings) -> tuple[int, int]:
-    """Links of a sample of at most `audit` nodes to all nodes, by brute force, and how many lie in one component."""
-    sample = nodes.orderBy(F.xxhash64("u"), "u").limit(settings.audit).select("u", "vec").collect()
-    ids, blobs = [r.u for r in sample], [bytes(r.vec) for r in sample]
+def audit(nodes: DataFrame, components: DataFrame, settings: Settings) -> tuple[int, float, bool]:
+    """Sampled nodes that have links, their mean share of links within their component, and whether that suffices.
+
+    A missed link has an end outside the largest component, so the sample is of those nodes alone. It is compared
+    with all nodes and grows until `audit` of it have links, all are in it, or it is `audit` times GROWN.
+    """
+    placed = components.join(nodes, "u").select("u", "vec", "component")
+    largest = components.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).collect()
+    outside = placed.where(F.col("component") != largest[0].component) if largest else placed
+    size, seen, recalls = settings.audit, 0, []
+    while True:
+        sample = outside.orderBy(F.xxhash64("u"), "u").limit(size).collect()[seen:]  # those before are compared already
+        recalls += _recalls(placed, sample, settings.threshold)
+        whole = seen + len(sample) < size
+        if whole or len(recalls) >= settings.audit or size >= GROWN * settings.audit:
+            break
+        seen, size = size, 4 * size
+    mean = float(np.mean(recalls)) if recalls else 1.0
+    return len(recalls), mean, mean >= settings.recall and (whole or len(recalls) >= settings.audit)
+
+
+def _recalls(placed: DataFrame, sample: list, threshold: float) -> list[float]:
+    """For each sampled row (u, vec, component) that has links: the share of them within its component."""
+    ids, homes, blobs = [r.u for r in sample], np.array([r.component for r in sample], np.int64), [bytes(r.vec) for r in sample]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, vecs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for size in {len(b) for b in vecs}:
-                mine, theirs = [i for i, b in enumerate(vecs) if len(b) == size], [i for i, b in enumerate(blobs) if len(b) == size]
-                if theirs:
-                    i, j = np.nonzero(_vectors([vecs[i] for i in mine]) @ _vectors([blobs[i] for i in theirs]).T >= settings.threshold)
-                    u, v = [own[mine[a]] for a in i], [ids[theirs[b]] for b in j]
-                    yield _pairs(u, v, [1.0] * len(u))
+            for k in range(0, batch.num_rows, SIDE):
+                own, vecs, home = (c.to_pylist() for c in batch.slice(k, SIDE).columns)
+                for size in {len(b) for b in vecs}:
+                    mine, theirs = [i for i, b in enumerate(vecs) if len(b) == size], np.array([i for i, b in enumerate(blobs) if len(b) == size], int)
+                    if len(theirs):
+                        near = _vectors([vecs[i] for i in mine]) @ _vectors([blobs[i] for i in theirs]).T >= threshold
+                        near &= np.array([own[i] for i in mine])[:, None] != np.array([ids[i] for i in theirs])
+                        true, found = near.sum(0), (near & (np.array([home[i] for i in mine])[:, None] == homes[theirs])).sum(0)
+                        some = true > 0
+                        yield pa.record_batch([pa.array(theirs[some]), pa.array(true[some]), pa.array(found[some])], ["at", "true", "found"])
+
+    counts = placed.mapInArrow(compare, "at long, true long, found long").groupBy("at").agg((F.sum("found") / F.sum("true")).alias("recall"))
+    return [r.recall for r in counts.collect()] if sample else []  # at most one number a sampled row
+
+
+def missed_links(nodes: DataFrame, components: DataFrame, settings: Settings) -> DataFrame:
+    """(u, v): all links between different components, by comparing all nodes block against block."""
+    placed = components.join(nodes, "u").select("u", "vec", "component", F.octet_length("vec").alias("size"))
+    sizes = placed.groupBy("size").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("k"))
+    members = placed.join(sizes, "size").withColumn("own", F.pmod(F.xxhash64("u"), F.col("k")).cast("int"))
+    each = members.select("size", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"), "own", "u", "component", "vec")
+    keyed = each.select("size", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"), "u", "component", "vec")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, 3):  # two blocks of about WIDE members
+            u, home, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), _vectors([r[2] for r in rows])
+            for k in range(0, len(u), SIDE):
+                i, j = np.nonzero((x[k : k + SIDE] @ x.T >= settings.threshold) & (home[k : k + SIDE, None] != home))
+                if len(i):
+                    yield stars(u[k + i], u[j])
 
-    true = nodes.select("u", "vec").mapInArrow(compare, "u long, v long, sim double").where("u != v")
-    named = true.join(components.withColumnRenamed("component", "a"), "u").join(components.select(F.col("u").alias("v"), F.col("component").alias("b")), "v")
-    row = named.agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("found")).first()
-    return row.n, row.found
+    return keyed.repartition("size", "a", "b").sortWithinPartitions("size", "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def link_counts(nodes: DataFrame, components: DataFrame, settings: Settings) -> DataFrame:
@@ -224,8 +265,11 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> Data
         new = pairs.where("sim > 1.5").union(graph.where(F.col("sim") >= settings.threshold)).select("u", "v")
         links = new if links is None else links.union(new)
         components = _components(nodes, links)
-        true, found = audit(nodes, components, settings)
-        if found >= settings.recall * true or tables >= settings.most_tables:
+        if audit(nodes, components, settings)[2]:
+            break
+        if tables >= settings.most_tables:
+            missed = cut(missed_links(nodes, components, settings))
+            components = _components(nodes, links.union(missed))
             break
     counts = cut(link_counts(nodes, components, settings))
     named = nodes.join(components, "u").join(counts, "u", "left")
