@@ -181,6 +181,17 @@ def test_pii_upper_case_shares_evidence(spark):
     assert all(r.n_secret == 1 for r in loud.values())  # upper-case secrets are seeds themselves
 
 
+def test_pii_tight_fields_and_whole_values(spark):
+    secrets = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(9)]
+    texts = [(k, f'word{k} of api_key={s} and w{k} token = "{s}" or {{"MY_LONG_FIELD_NAME":"{s}"}}') for k, s in enumerate(secrets)]
+    hard = ["x api_key=ab.cd.", "x api_key=short, y", 'see token = "two words, 3.5" there', 'Token = "no-digits-at-all-here"', "api_key=", '"my_long_field_name":"é😀"', "api_key=aaaa.bbbb0123456789012345", None, "the key is short"]
+    want = ["ab.cd", "short", "two words, 3.5", "no-digits-at-all-here", None, "é😀", "aaaa.bbbb0123456789012345", None, None]
+    rows = by_id(pii.find(docs(spark, [*texts, *((100 + k, t) for k, t in enumerate(hard))])))
+    assert all(rows[k].n_secret == 3 for k, _ in texts)
+    for k, (t, v) in enumerate(zip(hard, want, strict=True)):
+        assert rows[100 + k].spans == (f"secret:{t.index(v)}:{t.index(v) + len(v)}" if v else ""), t
+
+
 @pytest.mark.parametrize("size", [3000, 1 << 20])
 def test_suffix_dedup(spark, size):
     texts = corpus(60)

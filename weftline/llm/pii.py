@@ -5,9 +5,10 @@ just before an identifier-like token is its lexical pattern if it names a field
 like); patterns and token values form a graph. Rounds of scoring follow: a pattern's confidence is the mean
 score of its distinct values, times a factor that asks for several of them; a value's score is one for seeds,
 else the noisy-or of its patterns. Both are keyed without case, so a shouted text shares the evidence of others.
-Confident patterns then mark the values beside them, of whatever shape, as
-further identifiers. Patterns and values are keyed tables: sums are partial before each shuffle and only
-identifier-like tokens enter them, so prose costs one scan of regular expressions.
+Confident patterns then mark the values beside them as further identifiers: the whole value after a named field
+(key=VALUE, key = "VALUE"), of whatever length and shape, else the identifier-like token. Patterns and values are
+keyed tables: sums are partial before each shuffle and only identifier-like tokens and names of fields enter them,
+so prose costs scans of regular expressions.
 
 Positions count code points, ends exclusive. Regular expressions are possessive and take no group in an
 unbounded loop, so long texts neither recurse nor retry. Null texts are empty. Repeated rows get their own
@@ -37,9 +38,15 @@ PATTERNS = {
 #: What a text must hold for its kind's pattern to be tried.
 _HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Identifier-like tokens: 16 characters or more, judged further by their digits.
-TOKEN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9_+/@-])"
+TOKEN = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9_+/@-])"
 SECRET = r"^(?i)[0-9a-f]{32,}$"
-#: The end of the text before a token that is its pattern: up to two words and what touches the token.
+#: A field's name and the marks after it, tight (key=, "key":") or spaced (key = "): the pattern of what follows.
+_MARK = r"[^\p{L}\p{N}_\s-]"
+NAMED = rf"(?<![\p{{L}}\p{{N}}_-])[\p{{L}}\p{{N}}_-]++(?=[^\p{{L}}\p{{N}}_\n-]{{0,30}}?[=:\"'#]){_MARK}{{0,8}}+(?:[ \t]{{1,3}}+{_MARK}{{1,8}}+){{0,2}}+[ \t]{{0,3}}+"
+#: The whole value at the start of a text, after a quote to the next of its kind in the line, else to white space or a closing mark.
+QUOTED = r"^[^{q}\n]++(?={q})"
+BARE = r"^[^\s\"'`<>,;(){}\[\]&]*[^\s\"'`<>,;(){}\[\]&.:!?]"
+#: Without a named field, the end of the text before a token that is its pattern: up to two words and what touches the token.
 CONTEXT = r"((?:[^\s\x00]{1,40}[ \t]{1,3}){0,2}[^\s\x00]{0,40})$"
 #: A pattern names a field: it holds a mark of assignment or quotation.
 FIELD = "[=:\"'#]"
@@ -55,13 +62,13 @@ class Limits:
 def _spans(text: Column, pattern: str, keep: Column | None = None) -> Column:
     """array<struct<start,end,value>> of a pattern's matches."""
     both = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string>>)").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string>>)").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
         begin = acc["at"] + F.length(m["gap"])
         end = begin + F.length(m["value"])
-        one = F.struct(begin.alias("start"), end.alias("end"), m["value"].alias("value"), F.right(m["gap"], F.lit(130)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        one = F.struct(begin.alias("start"), end.alias("end"), m["value"].alias("value"), F.right(F.concat(acc["last"], m["gap"]), F.lit(130)).alias("before"))
+        return F.struct(end.alias("at"), F.right(m["value"], F.lit(130)).alias("last"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     return F.aggregate(both, start, step, lambda acc: acc["out"])
 
@@ -99,7 +106,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _with_base(docs: DataFrame) -> DataFrame:
-    """docs with _base: array<struct<kind,start,end,value,before>> by kind, then start; and _tokens, identifier-like tokens."""
+    """docs with _base: array<struct<kind,start,end,value,before>> by kind, then start; _tokens, identifier-like tokens; _fields, named fields."""
     text = F.coalesce("text", F.lit(""))
 
     def named(kind: str) -> Column:
@@ -107,11 +114,13 @@ def _with_base(docs: DataFrame) -> DataFrame:
 
     tokens = F.when(text.rlike(TOKEN), F.filter(_spans(text, TOKEN), lambda s: s["value"].rlike("[0-9]")))
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string>>)")
-    return docs.withColumns({"_base": F.concat(*map(named, KINDS)), "_tokens": F.coalesce(tokens, none)})
+    fields = F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NAMED), F.lit(0)), F.lower)), lambda c: c.rlike(FIELD))
+    return docs.withColumns({"_base": F.concat(*map(named, KINDS)), "_tokens": F.coalesce(tokens, none), "_fields": fields})
 
 
 def _context(before: Column) -> Column:
-    return F.lower(F.regexp_extract(before, CONTEXT, 1))
+    named = F.regexp_extract(before, f"{NAMED}$", 0)
+    return F.lower(F.when(named.rlike(FIELD), named).otherwise(F.regexp_extract(before, CONTEXT, 1)))
 
 
 def patterns_of(based: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
@@ -134,11 +143,40 @@ def patterns_of(based: DataFrame, limits: Limits = Limits()) -> DataFrame:  # no
     return cut(found.select("context", "confidence", "n_values"))
 
 
-def _found(based: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and _secrets, the spans (start, end) of tokens beside confident patterns that no base span overlaps."""
+def _value_spans(text: Column, contexts: Column) -> Column:
+    """array<struct<start,end>> of the whole values after the named fields that contexts holds."""
+    found = F.regexp_extract_all(text, F.lit(NAMED), F.lit(0))
+    both = F.arrays_zip(F.slice(F.split(text, NAMED, -1), 1, F.size(found)).alias("gap"), found.alias("name"))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<at:int,quote:string>>)").alias("out"))
+
+    def step(acc: Column, m: Column) -> Column:
+        end = acc["at"] + F.length(m["gap"]) + F.length(m["name"])
+        one = F.array(F.struct(end.alias("at"), F.right(m["name"], F.lit(1)).alias("quote")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(contexts, F.lower(m["name"])), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def span(m: Column) -> Column:
+        rest = F.substring(text, m["at"] + 1, F.length(text))
+        whole = F.coalesce(*[F.when(m["quote"] == q, F.regexp_extract(rest, QUOTED.replace("{q}", q), 0)) for q in "\"'`"], F.lit(""))
+        value = F.when(whole != "", whole).otherwise(F.regexp_extract(rest, BARE, 0))
+        return F.struct(m["at"].alias("start"), (m["at"] + F.length(value)).alias("end"))
+
+    return F.filter(F.transform(F.aggregate(both, start, step, lambda acc: acc["out"]), span), lambda v: v["start"] < v["end"])
+
+
+def _found(own: DataFrame, based: DataFrame, patterns: DataFrame) -> DataFrame:
+    """_KEYS and _secrets, the spans (start, end) beside confident patterns that no base span holds: tokens, and whole values of named fields. own: the texts."""
     tokens = F.filter("_tokens", lambda t: t["before"].rlike(FIELD) & ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    each = based.select(*keys, F.explode(tokens).alias("t")).select(*keys, "t.start", "t.end", _context(F.col("t.before")).alias("context"))
-    return each.join(patterns.select("context"), "context", "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_secrets"))
+    each = based.select(*_KEYS, F.explode(tokens).alias("t")).select(*_KEYS, "t.start", "t.end", _context(F.col("t.before")).alias("context"))
+    beside = each.join(patterns.select("context"), "context", "left_semi").select(*_KEYS, "start", "end")
+    named = based.select(*_KEYS, "_base", F.explode("_fields").alias("context")).join(patterns.select("context"), "context", "left_semi")
+    named = named.groupBy(*_KEYS).agg(F.collect_set("context").alias("_contexts"), F.first("_base").alias("_own")).withColumnsRenamed({"doc_id": "_id", "_th": "_h"})
+    texts = own.select(*_KEYS, F.coalesce("text", F.lit("")).alias("_text")).join(named, own["doc_id"].eqNullSafe(F.col("_id")) & (own["_th"] == F.col("_h")))
+    values = F.filter(_value_spans(F.col("_text"), F.col("_contexts")), lambda v: ~F.exists("_own", lambda b: (b["start"] <= v["start"]) & (v["end"] <= b["end"])))
+    spans = beside.union(texts.select(*_KEYS, F.explode(values).alias("v")).select(*_KEYS, "v.start", "v.end"))
+    every = spans.groupBy(*_KEYS).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_every"))
+    # of spans within others, the whole ones stay
+    whole = F.filter("_every", lambda s: ~F.exists("_every", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
+    return every.select(*_KEYS, whole.alias("_secrets"))
 
 
 def _joined(spans: Column) -> Column:
@@ -152,28 +190,30 @@ def find(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """doc_id, counts by kind, base_sha256, spans (with those the method adds, of kind secret), n_secret: for each row."""
     own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
     based = cut(_with_base(own).drop("text"))
-    return _report(based, patterns_of(based, limits))
+    return _report(own, based, patterns_of(based, limits))
 
 
-def _all_spans(based: DataFrame, patterns: DataFrame) -> DataFrame:
-    secrets = _found(based, patterns, _KEYS).withColumnsRenamed({"doc_id": "_id", "_th": "_h"})
-    both = based.join(secrets, based["doc_id"].eqNullSafe(F.col("_id")) & (based["_th"] == F.col("_h")), "left").drop("_id", "_h")
+def _all_spans(own: DataFrame, based: DataFrame, patterns: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+    """based, or wide (with _base and the same rows), with _plain and _added."""
+    secrets = _found(own, based, patterns).withColumnsRenamed({"doc_id": "_id", "_th": "_h"})
+    wide = based if wide is None else wide
+    both = wide.join(secrets, wide["doc_id"].eqNullSafe(F.col("_id")) & (wide["_th"] == F.col("_h")), "left").drop("_id", "_h")
     base = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     added = F.transform("_secrets", lambda s: F.struct(F.lit("secret").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
     return both.withColumns({"_plain": base, "_added": F.coalesce(added, none)})
 
 
-def _report(based: DataFrame, patterns: DataFrame) -> DataFrame:
+def _report(own: DataFrame, based: DataFrame, patterns: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("_plain", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return _all_spans(based, patterns).select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined(F.col("_plain")), 256).alias("base_sha256"), _joined(F.concat("_plain", "_added")).alias("spans"), F.size("_added").cast("long").alias("n_secret"))
+    return _all_spans(own, based, patterns).select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined(F.col("_plain")), 256).alias("base_sha256"), _joined(F.concat("_plain", "_added")).alias("spans"), F.size("_added").cast("long").alias("n_secret"))
 
 
 def redact(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """docs with each span (overlapping ones as one) replaced by its kind in brackets, [email] for instance; n_chars follows."""
     own = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    patterns = patterns_of(cut(_with_base(own.select("text")).select("_base", "_tokens")), limits)
-    found = _all_spans(_with_base(own), patterns)
+    based = cut(_with_base(own.select(*_KEYS, "text")).drop("text"))
+    found = _all_spans(own, based, patterns_of(based, limits), _with_base(own))
     text = F.coalesce("text", F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
