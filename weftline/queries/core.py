@@ -275,6 +275,11 @@ def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.context_block(items(spark, sf_dir).withColumn("text", F.substring("content", 1, 40)))
 
 
+@query("context_block_whole", _I + ", t as (select envelope_id, array_key, string_agg('- ' || content, chr(10) order by pos) as lines from i where array_key <> 'instructions' group by 1, 2) select envelope_id, string_agg('## ' || array_key || chr(10) || lines, chr(10) || chr(10) order by case array_key when 'facts' then 0 when 'assumptions' then 1 when 'decisions' then 2 else 3 end) as block from t group by 1")
+def context_block_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.context_block(items(spark, sf_dir).withColumn("text", F.col("content")))
+
+
 _CONV = "with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations) "
 
 
