@@ -365,3 +365,12 @@ def test_toxicity(spark):
     none = toxicity.train(df, marks.limit(0))
     assert none.lexicon == () and none.score("anything") < 1e-6
     assert toxicity.train(df, marks.withColumn("toxic", F.lit(1))).score("") > 0.99
+
+
+def test_toxic_words_rarer_than_many_common_parts(spark):
+    rng = random.Random(3)
+    common = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(9)) for _ in range(5000))  # over 20,000 parts
+    texts = [(1, common + (" zyxvile" if k < 30 else "")) for k in range(40)] + [(0, common)] * 60
+    sample = spark.createDataFrame([(t, x) for t, x in texts], "toxic long, text string").repartition(4)
+    found = toxicity._toxic_entries(sample, 64, 5)
+    assert found and all(e.startswith("zyx") for e in found)

@@ -79,7 +79,7 @@ class Voters:
         return [*(i in hits for i in range(len(self._at))), *(n >= d * length and n > 0 for d in _DENSITIES), n >= 2, n >= 3, shouting, text.count("!") * 20 > len(text) > 20, bool(re.search(r"(\w)\1{4}", text))]
 
 
-def _toxic_entries(sample: DataFrame, most: int, support: int, candidates: int = 20_000) -> list[str]:
+def _toxic_entries(sample: DataFrame, most: int, support: int) -> list[str]:
     """Words and beginnings of labelled texts (text, toxic) by lower bounds of their log odds among words and among texts."""
     words = F.filter(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.btrim(w, F.lit(_STRIP))), lambda w: w != "")
     sample = sample.select("toxic", words.alias("words"))
@@ -91,13 +91,10 @@ def _toxic_entries(sample: DataFrame, most: int, support: int, candidates: int =
         each = lambda w: F.array(F.concat(w, F.lit(_END)), *[F.when(F.length(w) >= n, F.substring(w, 1, n)) for n in _BEGINNINGS])
         return F.filter(F.flatten(F.transform(words, each)), lambda p: p.isNotNull())
 
-    # toxic texts name the candidates; sums are partial before each shuffle, so it carries a part once a task
-    some = sample.where("toxic = 1").select(F.explode(F.array_distinct(parts(F.col("words")))).alias("part")).groupBy("part").agg(F.count("*").alias("docs"))
-    some = some.where(F.col("docs") >= support).orderBy(F.desc("docs"), "part").limit(candidates)
-    named = F.broadcast(some.select("part"))  # at most `candidates` strings
-    tokens = sample.select("toxic", F.explode(parts(F.col("words"))).alias("part")).join(named, "part").groupBy("part").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("f"))
-    by_doc = sample.select("toxic", F.explode(F.array_distinct(parts(F.col("words")))).alias("part")).join(named, "part").groupBy("part").agg(F.sum("toxic").alias("docs"), F.count("*").alias("all_docs"))
-    counts = tokens.join(by_doc, "part")
+    # every part of the sample counts; sums are partial before each shuffle, so it carries a part once a task
+    tokens = sample.select("toxic", F.explode(parts(F.col("words"))).alias("part")).groupBy("part").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("f"))
+    by_doc = sample.select("toxic", F.explode(F.array_distinct(parts(F.col("words")))).alias("part")).groupBy("part").agg(F.sum("toxic").alias("docs"), F.count("*").alias("all_docs"))
+    counts = tokens.join(by_doc.where(F.col("docs") >= support), "part")
     free = F.col("all_docs") - F.col("docs")
     by_text = F.log((F.col("docs") + 0.5) / (texts.t + 1)) - F.log((free + 0.5) / (texts.n - texts.t + 1)) - 2 * F.sqrt(1 / (F.col("docs") + 0.5) + 1 / (free + 0.5))
     odds = F.log((F.col("t") + 0.5) / (texts.wt + 1)) - F.log((F.col("f") + 0.5) / (texts.wn - texts.wt + 1))
