@@ -79,7 +79,7 @@ def test_segment_tree_forms_agree():
 
 @pytest.mark.parametrize("size", [1024, 64])
 def test_packing(spark, size):
-    texts = [*corpus(40), (900, "word " * 3000)]
+    texts = [*corpus(40), (900, "word " * 3000), (901, "a <|endoftext|> b<|endoftext|><|endoftext|>"), (902, "<|endoftext")]
     tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     rows = packing.pack_documents(docs(spark, [t for t in texts if t[0] not in (10, None)]), public.path("byte_bpe_50k.json"), public.PATTERN, size).collect()
     for i, t in texts:
@@ -102,13 +102,44 @@ def test_packing(spark, size):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), public.path("byte_bpe_50k.json"), public.PATTERN).count() == 0
 
 
-def test_packing_plans_place_every_piece():
-    rng = np.random.default_rng(3)
+def first_fit_decreasing(histogram, size):
+    bins = []
+    for length in range(size, 0, -1):
+        for _ in range(histogram[length]):
+            at = next((k for k, used in enumerate(bins) if used + length <= size), None)
+            if at is None:
+                bins.append(length)
+            else:
+                bins[at] += length
+    return len(bins)
+
+
+@pytest.mark.parametrize("lo,hi,n,size", [(1, 128, 700, 128), (40, 100, 500, 128), (30, 50, 600, 128), (1, 20, 900, 128), (128, 128, 5, 128), (7, 7, 100, 128)])
+def test_packing_plans_place_every_piece(lo, hi, n, size):
+    histogram = np.bincount(np.random.default_rng(3).integers(lo, hi + 1, n), minlength=size + 1)
+    plan, solution = packing.rounded(histogram, size, 40)
+    used = sum(times for _, times in plan)
+    assert (sum(c * times for c, times in plan) == histogram).all()
+    assert all(c @ np.arange(size + 1) <= size for c, _ in plan)
+    assert solution.bound <= used + 1e-6 and int(histogram @ np.arange(size + 1)) <= (solution.bound + 1) * size
+    assert used <= first_fit_decreasing(histogram, size) and [(c.tolist(), k) for c, k in packing.plan_of(histogram, size)] == [(c.tolist(), k) for c, k in plan]
+
+
+def test_packing_uses_its_linear_program():
+    """On lengths of a corpus the LP's configurations hold most pieces, and the plan is as short as its bound."""
+    rng = np.random.default_rng(5)
+    histogram = np.bincount(np.minimum(1 + rng.lognormal(5, 1, 20_000).astype(int), 512), minlength=513)
+    plan, solution = packing.rounded(histogram, 512, 40)
+    used = sum(times for _, times in plan)
+    assert solution.value >= 0.7 * used and used <= solution.bound + 2
+
+
+def test_packing_prices_move():
+    """Where the longest pieces can't share, their price rises to a whole sequence and that of short ones falls."""
     histogram = np.zeros(129, np.int64)
-    histogram[1:] = rng.integers(0, 40, 128)
-    for plan in (packing.rounded(packing.fractional(histogram, 128, 40), histogram, 128), packing.first_fit(histogram, 128)):
-        assert (sum(c * n for c, n in plan) == histogram).all()
-        assert all(c @ np.arange(129) <= 128 for c, _ in plan)
+    histogram[[70, 80, 50]] = 100
+    price, bound = packing.prices(histogram, 128, 40)
+    assert bound > 199 and price[80] > 0.95 and price[50] < 0.2
 
 
 def expected_quality(text):
