@@ -1,22 +1,23 @@
 """Repeated-window removal by a depth-limited most-significant-digit radix sort of suffixes.
 
-Suffixes are ordered only through `window` bytes, in passes over digits of that prefix, and groups that can no
-longer repeat leave after each pass; the groups left equal after the last pass are exactly the windows that
-occur in more than one document. A digit is a stretch of the window, compared by its 64-bit hash:
-
-1. The first digit of a window is its minimizer: of its stretches of `gram` bytes, the leftmost of least hash.
-   All windows around one minimizer move together as a run (start, count), about one for every
-   (window - gram) / 2 bytes. A block of documents sends only its distinct first digits, and hears which of
-   them another block or document has.
-2. The second digit is the run's whole stretch of text. Runs equal in both digits repeat wholly: all but those of
-   the least document are covered. This settles the inside of any repeated passage.
-3. Only runs whose first digit has several second digits, and whose text beside it on one side is shared too,
-   are taken apart into windows: the edges of passages. Their third digit is the whole window.
+Suffixes are ordered only through `window` bytes, digit by digit, and groups that can no longer repeat leave after
+each digit; the groups left equal after the last one are exactly the windows that occur in more than one document.
+Inside a task, `ranks` does this on eight bytes at a time. Between tasks there are three passes, of ever fewer suffixes:
+
+1. Of the suffixes, those at anchors go first: a window's anchor is, of its stretches of `gram` bytes, the leftmost
+   of least hash, so equal windows have equal anchors and all windows around one anchor are a run (start, count),
+   about one for every (window - gram) / 2 bytes. Their first digit is the anchor's stretch. A block of documents
+   sends its distinct first digits and hears which of them another block or document has. Digits are dealt by hash,
+   which here can only let a suffix live that does not repeat.
+2. The rest of a run's text is its second digit. Runs that are equal byte by byte repeat wholly: all but those of the
+   least document are covered. This settles the inside of any repeated passage.
+3. Runs whose first digit has several second digits, and whose text beside it on one side is shared too, are the
+   edges of passages. They are taken apart into windows, which are dealt each by itself and compared byte by byte.
 
 Documents are dealt once into blocks of a few megabytes, stored on shared storage and dealt by their number;
-afterwards only digits and spans move. A block settles its own repeats and sends a group's least document only,
-so a group has a row a block at most, however many copies there are. Buckets, the digits' leading bits, grow in
-number with the input and keep their size. Two digits hold 128 bits.
+afterwards only digits and spans move. A block settles its own repeats and sends one row for a group, that of its
+least document, so a group of any number of copies has a row a block at most and no bucket holds more of a hot
+passage than that. Buckets, hashes' leading bits, grow in number with the input and keep their size.
 
 Texts are UTF-8 bytes, null texts empty. Rows without an id are neither changed nor a source. Rows with one id
 don't cover each other. Extra columns are kept by remove_repeats and ignored by the digest. An empty table gives
@@ -69,6 +70,7 @@ class Block:
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.starts = np.append(0, np.cumsum(self.sizes)[:-1]) if len(texts) else np.zeros(0, np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
+        self._data = data
         up, self._down = _powers(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * up[:-1], out=self._sums[1:])
@@ -76,6 +78,14 @@ class Block:
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self._sums[end] - self._sums[start]) * self._down[start])
 
+    def text(self, start: np.ndarray, size: np.ndarray | int, width: int) -> np.ndarray:
+        """(n, width) bytes of stretches, zero beyond their sizes."""
+        padded = np.concatenate([self._data, np.zeros(width, np.uint8)])
+        found = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
+        if not isinstance(size, int):
+            found[np.arange(width) >= size[:, None]] = 0
+        return found
+
     def runs(self, window: int, gram: int) -> tuple[np.ndarray, ...]:
         """first digit, document (index), first window, windows, place of the minimizer: of each run."""
         n, width = len(self._sums) - 1, window - gram + 1
@@ -119,9 +129,8 @@ def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 DIGIT = np.dtype([("k", "<u8")])
-RUN = np.dtype([("k", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("left", "<u4"), ("right", "<u4"), ("i", "<u4"), ("start", "<u4"), ("n", "<u2")])
-OPEN = np.dtype([("i", "<u4"), ("k", "<u8"), ("start", "<u4"), ("n", "<u2")])
-WINDOW = np.dtype([("k", "<u8"), ("w", "<u8"), ("doc", "<i8"), ("i", "<u4"), ("start", "<u4")])
+EDGE = np.dtype([("k", "<u8"), ("s", "<u8")])
+SUFFIX = [("doc", "<i8"), ("i", "<u4"), ("start", "<u4"), ("n", "<u2")]
 SPAN = np.dtype([("i", "<u4"), ("start", "<u4"), ("end", "<u4")])
 _ROWS = "bucket long, block long, kind string, data binary"
 
@@ -146,18 +155,36 @@ def _cuts(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge, [*edge[1:], len(sorted_values)], strict=True))
 
 
-def _dealt(records: np.ndarray, block: int, bits: int) -> list[tuple]:
-    """Rows of a block's records (by k) for the buckets of their leading bits."""
-    records = records[np.argsort(records["k"], kind="stable")]
-    bucket = (records["k"] >> np.uint64(64 - bits)).astype(np.int64)
-    return [(int(bucket[a]), block, "", records[a:b].tobytes()) for a, b in _cuts(bucket)]
+def _dealt(records: np.ndarray, by: np.ndarray, block: int, bits: int, kind: str = "") -> list[tuple]:
+    """Compressed rows of a block's records for the buckets of the leading bits of `by`; within one, as they came."""
+    bucket = (by >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    records, bucket = records[order], bucket[order]
+    return [(int(bucket[a]), block, kind, _packed(records[a:b])) for a, b in _cuts(bucket)]
+
+
+def _packed(records: np.ndarray) -> bytes:
+    """Field by field, so that equal places of records stand together; 4 bytes of count, then zstandard."""
+    plain = b"".join(np.ascontiguousarray(records[f]).tobytes() for f in records.dtype.names)
+    return len(records).to_bytes(4, "little") + pa.compress(plain, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    plain, at = pa.decompress(data[4:], n * kind.itemsize, "zstd", asbytes=True), 0
+    out = np.zeros(n, kind)
+    for f in kind.names:
+        own = kind[f]
+        out[f] = np.frombuffer(plain, own.base, n * max(1, int(np.prod(own.shape))), at).reshape(n, *own.shape)
+        at += n * own.itemsize
+    return out
 
 
 def _returned(block: np.ndarray, records: np.ndarray, kind: str) -> list[tuple]:
     """Rows of records for the blocks they are about."""
     order = np.argsort(block, kind="stable")
     block, records = block[order], records[order]
-    return [(0, int(block[a]), kind, records[a:b].tobytes()) for a, b in _cuts(block)]
+    return [(0, int(block[a]), kind, _packed(records[a:b])) for a, b in _cuts(block)]
 
 
 def blocks_of(docs: DataFrame, bytes_a_block: int = BLOCK) -> DataFrame:
@@ -227,13 +254,13 @@ def _by_bucket(rows: DataFrame, settle: Callable[[list[tuple[int, str, bytes]]],
 
 
 def _gathered(rows: list[tuple[int, str, bytes]], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(data, kind) for _, _, data in rows]
-    return np.repeat(np.array([b for b, _, _ in rows], np.int64), [len(p) for p in parts]), np.concatenate(parts)
+    parts = [_unpacked(data, kind) for _, _, data in rows]
+    return np.repeat(np.array([b for b, _, _ in rows], np.int64), [len(p) for p in parts]), np.concatenate([np.zeros(0, kind), *parts])
 
 
 def _told(blocks: DataFrame, messages: DataFrame, how: str = "inner") -> DataFrame:
     """Blocks with what they are told; only the messages move."""
-    heard = messages.groupBy("block").agg(F.collect_list("data").alias("told"))
+    heard = messages.groupBy("block").agg(F.collect_list(F.struct("kind", "data")).alias("told"))
     return blocks.join(heard, "block", how).select("block", "payload", "told")
 
 
@@ -255,15 +282,27 @@ def _low(ids: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _several(value: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Whether rows of the same keys have more than one value."""
-    order = np.lexsort((value, *reversed(keys)))
-    new = _first(*(k[order] for k in keys))
-    group = np.cumsum(new) - 1
-    many = np.bincount(group, weights=_first(*(k[order] for k in keys), value[order])) > 1
-    out = np.zeros(len(value), bool)
-    out[order] = many[group]
-    return out
+def ranks(text: np.ndarray) -> np.ndarray:
+    """The place of each row of bytes in their order, equal rows sharing the first one's.
+
+    Most significant digit first, eight bytes a digit; rows that are alone in their group leave.
+    """
+    n, width = text.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = text
+    digits = wide.view(">u8").astype(np.uint64)
+    place, live = np.zeros(n, np.int64), np.arange(n)
+    for digit in digits.T:
+        if not len(live):
+            break
+        at = live[np.lexsort((digit[live], place[live]))]
+        here = np.arange(len(at))
+        before, new = _first(place[at]), _first(place[at], digit[at])
+        since = lambda mark: np.maximum.accumulate(np.where(mark, here, 0))  # noqa: B023, E731
+        place[at] += since(new) - since(before)
+        alone = new & np.append(new[1:], True)
+        live = at[~alone]
+    return place
 
 
 def _runs(block: Block, has: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -277,10 +316,16 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return _records(SPAN, i=d, start=a, end=b)
 
 
+def _heard(told: list[dict], kind: str, record: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, record), *(_unpacked(t["data"], record) for t in told if t["kind"] == kind)])
+
+
 def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
-    """(block, data) messages: SPAN records, the byte ranges covered by windows of a smaller document."""
+    """(block, kind, data) messages: SPAN records, the byte ranges covered by windows of a smaller document."""
     bits = max(8, max(1, blocks.count()).bit_length() - 1)  # some two blocks' worth of digits a bucket
     half = (window - gram + 1) // 2
+    width = 2 * window - gram  # of the longest run: as many windows as can have one anchor
+    run_of, window_of = (np.dtype([("t", "u1", (w,)), *SUFFIX]) for w in (width, window))
 
     def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,9 +340,10 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
                 if len(at):
                     last = doc[np.append(at[1:], len(k)) - 1]
                     # the lowest bit says that two documents of the block have it
-                    yield _rows(_dealt(_records(DIGIT, k=k[at] & ~np.uint64(1) | (last != doc[at])), number, bits))
+                    own = _records(DIGIT, k=k[at] & ~np.uint64(1) | (last != doc[at]))
+                    yield _rows(_dealt(own, own["k"], number, bits))
 
-    def share(rows: list[tuple[int, str, bytes]]) -> list[tuple]:
+    def share(rows: list[tuple]) -> list[tuple]:
         block, got = _gathered(rows, DIGIT)
         k = got["k"] & ~np.uint64(1)
         order = np.argsort(k, kind="stable")
@@ -305,39 +351,62 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
         new = _first(k)
         group = np.cumsum(new) - 1
         keep = ((np.bincount(group) > 1) | (np.bincount(group, weights=many) > 0))[group]
-        return _returned(block[order][keep], _records(DIGIT, k=k[keep]), "")
+        return _returned(block[order][keep], _records(DIGIT, k=k[keep]), "digit")
 
     shared = cut(_by_bucket(blocks.mapInArrow(digits, _ROWS), share))
 
+    def sides(block: Block, k: np.ndarray, doc: np.ndarray, at: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the anchor with the text before it, and after it: equal where the texts are, of one run where the document ends."""
+        alone = _mix(np.arange(len(k), dtype=np.uint64) ^ np.uint64(number) << np.uint64(32))
+        start, end = block.starts[doc], (block.starts + block.sizes)[doc]
+        left = np.where(at - start >= half, block.hashes(np.maximum(at - half, 0), at), alone)
+        right = np.where(at + gram + half <= end, block.hashes(np.minimum(at + gram, end), np.minimum(at + gram + half, end)), ~alone)
+        return _mix(left ^ k) & ~np.uint64(1), _mix(right + k) & ~np.uint64(1)
+
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload, told in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 give_back()
                 _, block, ids, has = _opened(payload)
                 k, doc, first, many, at = _runs(block, has, window, gram)
-                live = np.isin(k & ~np.uint64(1), np.concatenate([np.frombuffer(t, np.uint64) for t in told]))
-                k, doc, first, many, at = (x[live] for x in (k, doc, first, many, at))
-                s = block.hashes(first, first + many + window - 1) ^ _mix((many << 16 | at - first).astype(np.uint64))
-                low = _low(ids[doc], k, s) == ids[doc]
+                left, right = sides(block, k, doc, at, number)
+                live = np.isin(k & ~np.uint64(1), _heard(told, "digit", DIGIT)["k"])
+                k, doc, first, many, left, right = (x[live] for x in (k, doc, first, many, left, right))
+                text = block.text(first, many + window - 1, width)
+                place = ranks(np.column_stack([text, many.astype(np.uint8)]))  # texts may end in zeros
+                low = _low(ids[doc], place) == ids[doc]
                 start = first - block.starts[doc]
-                done = _spans(doc[~low], start[~low], (start + many + window - 1)[~low])
-                rows = [(-1 - number % 997, number, "span", done.tobytes())] if len(done) else []
-                k, doc, first, many, at, s, start = (x[low] for x in (k, doc, first, many, at, s, start))
-                alone = _mix(np.arange(len(k), dtype=np.uint64) ^ np.uint64(number) << np.uint64(32)) | np.uint64(1)
-                ends = (block.starts + block.sizes)[doc]
-                left = np.where(at - block.starts[doc] >= half, block.hashes(np.maximum(at - half, 0), at) & ~np.uint64(1), alone)
-                right = np.where(at + gram + half <= ends, block.hashes(np.minimum(at + gram, ends), np.minimum(at + gram + half, ends)) & ~np.uint64(1), alone)
-                yield _rows(rows + _dealt(_records(RUN, k=k, s=s, doc=ids[doc], left=left.astype(np.uint32), right=right.astype(np.uint32), i=doc, start=start, n=many), number, bits))
-
-    def sort_runs(rows: list[tuple[int, str, bytes]]) -> list[tuple]:
-        block, r = _gathered(rows, RUN)
-        low = _low(r["doc"], r["k"], r["s"]) == r["doc"]
-        over = r[~low]
-        found = _returned(block[~low], _records(SPAN, i=over["i"], start=over["start"], end=over["start"] + over["n"] + (window - 1)), "span")
-        block, r = block[low], r[low]
-        edge = _several(r["s"], r["k"], r["left"]) | _several(r["s"], r["k"], r["right"])
-        block, r = block[edge], r[edge]
-        return found + _returned(block, _records(OPEN, i=r["i"], k=r["k"], start=r["start"], n=r["n"]), "open")
+                end = start + many + window - 1
+                rows = [(-1 - number % 997, number, "span", _packed(_records(SPAN, i=doc[~low], start=start[~low], end=end[~low])))] if not low.all() else []
+                s = block.hashes(first, first + many + window - 1)
+                order = np.flatnonzero(low)[np.argsort(place[low], kind="stable")]
+                rows += _dealt(_records(run_of, t=text[order], doc=ids[doc[order]], i=doc[order], start=start[order], n=many[order]), s[order], number, bits, "run")
+                # one row an edge: its second digit, and in the lowest bit of its key whether the block has several
+                edge, of = np.concatenate([left[low], right[low]]), np.concatenate([s[low], s[low]])
+                order = np.lexsort((of, edge))
+                edge, of = edge[order], of[order]
+                begin = np.flatnonzero(_first(edge))
+                if len(begin):
+                    several = of[np.append(begin[1:], len(of)) - 1] != of[begin]
+                    rows += _dealt(_records(EDGE, k=edge[begin] | several, s=of[begin]), edge[begin], number, bits, "edge")
+                yield _rows(rows)
+
+    def sort_runs(rows: list[tuple]) -> list[tuple]:
+        block, r = _gathered([x for x in rows if x[1] == "run"], run_of)
+        over = _low(r["doc"], ranks(np.column_stack([r["t"], r["n"].astype(np.uint8)]))) != r["doc"]
+        block, r = block[over], r[over]
+        found = _returned(block, _records(SPAN, i=r["i"], start=r["start"], end=r["start"] + r["n"] + (window - 1)), "span")
+        block, r = _gathered([x for x in rows if x[1] == "edge"], EDGE)
+        if not len(r):
+            return found
+        k = r["k"] & ~np.uint64(1)
+        order = np.lexsort((r["s"], k))
+        k, s, several = k[order], r["s"][order], (r["k"][order] & np.uint64(1)).astype(bool)
+        new = _first(k)
+        group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+        last = np.append(begin[1:], len(k)) - 1
+        open_ = ((s[begin] != s[last]) | (np.bincount(group, weights=several) > 0))[group]
+        return found + _returned(block[order][open_], _records(DIGIT, k=k[open_]), "open")
 
     second = cut(_by_bucket(_told(blocks, shared).mapInArrow(stretches, _ROWS), sort_runs))
 
@@ -345,31 +414,41 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
         for batch in batches:
             for number, payload, told in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 give_back()
-                _, block, ids, _ = _opened(payload)
-                r = np.concatenate([np.frombuffer(t, OPEN) for t in told])
-                many = r["n"].astype(np.int64)
-                row = np.repeat(np.arange(len(r)), many)
-                start = r["start"][row].astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                doc, k = r["i"][row].astype(np.int64), r["k"][row]
-                w = block.hashes(block.starts[doc] + start, block.starts[doc] + start + window)
-                low = _low(ids[doc], k, w) == ids[doc]
-                done = _spans(doc[~low], start[~low], start[~low] + window)
-                rows = [(-1 - number % 997, number, "span", done.tobytes())] if len(done) else []
-                yield _rows(rows + _dealt(_records(WINDOW, k=k[low], w=w[low], doc=ids[doc[low]], i=doc[low], start=start[low]), number, bits))
-
-    def sort_windows(rows: list[tuple[int, str, bytes]]) -> list[tuple]:
-        block, r = _gathered(rows, WINDOW)
-        over = _low(r["doc"], r["k"], r["w"]) != r["doc"]
+                open_, done = _heard(told, "open", DIGIT)["k"], _heard(told, "span", SPAN)
+                if not len(open_):
+                    continue
+                _, block, ids, has = _opened(payload)
+                k, doc, first, many, at = _runs(block, has, window, gram)
+                left, right = sides(block, k, doc, at, number)
+                # runs that an equal one of a smaller document covers are done
+                name = doc << 32 | first - block.starts[doc]
+                edge = (np.isin(left, open_) | np.isin(right, open_)) & ~np.isin(name, done["i"].astype(np.int64) << 32 | done["start"])
+                doc, first, many = (x[edge] for x in (doc, first, many))
+                row = np.repeat(np.arange(len(doc)), many)
+                start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                doc = doc[row]
+                text = block.text(start, window, window)
+                place = ranks(text)
+                low = _low(ids[doc], place) == ids[doc]
+                at = start - block.starts[doc]
+                over = _spans(doc[~low], at[~low], at[~low] + window)
+                rows = [(-1 - number % 997, number, "span", _packed(over))] if len(over) else []
+                order = np.flatnonzero(low)[np.argsort(place[low], kind="stable")]
+                yield _rows(rows + _dealt(_records(window_of, t=text[order], doc=ids[doc[order]], i=doc[order], start=at[order]), block.hashes(start[order], start[order] + window), number, bits, "window"))
+
+    def sort_windows(rows: list[tuple]) -> list[tuple]:
+        block, r = _gathered(rows, window_of)
+        over = _low(r["doc"], ranks(r["t"])) != r["doc"]
         block, r = block[over], r[over]
         return _returned(block, _records(SPAN, i=r["i"], start=r["start"], end=r["start"] + window), "span")
 
-    third = cut(_by_bucket(_told(blocks, second.where("kind = 'open'")).mapInArrow(apart, _ROWS), sort_windows))
-    return second.where("kind = 'span'").union(third).select("block", "data")
+    third = cut(_by_bucket(_told(blocks, second).mapInArrow(apart, _ROWS), sort_windows))
+    return second.where("kind = 'span'").union(third).select("block", "kind", "data")
 
 
-def _kept(told: list[bytes] | None, texts: Block, rows: pa.Table) -> Iterator[tuple[bytes, int, bytes]]:
+def _kept(told: list[dict] | None, texts: Block, rows: pa.Table) -> Iterator[tuple[bytes, int, bytes]]:
     """Of each row: the text's bytes, how many maximal runs are removed, what is kept."""
-    got = np.concatenate([np.frombuffer(t, SPAN) for t in told]) if told else np.zeros(0, SPAN)
+    got = _heard(told or [], "span", SPAN)
     spans = _spans(got["i"], got["start"], got["end"])
     of = np.split(spans, np.searchsorted(spans["i"], np.arange(1, len(texts.sizes)))) if len(texts.sizes) else []
     for text, own in zip(rows.column("text").to_pylist(), of, strict=True):
