@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -19,32 +20,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder comes from spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder comes from spark.checkpoint.dir; one of our own only where that is unset and all runs in this process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-checkpoints-"))
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning, _lock, _before = 0, threading.Lock(), None
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages restart from shared storage after an executor is lost.
 
-    The shuffle files behind it are deleted once it is written, as nothing reads them again.
+    The shuffle files behind it are deleted once it is written, as nothing reads them again. The session's setting
+    for that is put back when the last of the cuts under way, in whatever thread, has ended.
     """
+    global _cleaning, _before
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    with _lock:
+        if not _cleaning:
+            _before = spark.conf.get(_CLEANUP, None)
+        _cleaning += 1
+        spark.conf.set(_CLEANUP, "true")
     try:
         # a new DataFrame of the same plan, so that the setting holds for this action alone
         return df.select("*").checkpoint(eager=True)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        with _lock:
+            _cleaning -= 1
+            if not _cleaning and _before is None:
+                spark.conf.unset(_CLEANUP)
+            elif not _cleaning:
+                spark.conf.set(_CLEANUP, _before)
+
+
+def hidden(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with all columns but the named ones renamed, so that an operator's own columns can't clash with them.
+
+    Rows come back as they were by ``out.select(*hidden.columns).toDF(*docs.columns)``.
+    """
+    return docs.toDF(*[c if c in names else f"_own{k}" for k, c in enumerate(docs.columns)])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

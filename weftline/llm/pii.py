@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, let
+from weftline.llm.common import cut, hidden, let
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -211,7 +211,8 @@ def _report(own: DataFrame, based: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """docs with each span (overlapping ones as one) replaced by its kind in brackets, [email] for instance; n_chars follows."""
-    own = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    masked = hidden(docs, "doc_id", "text", "n_chars")
+    own = masked.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
     based = cut(_with_base(own.select(*_KEYS, "text")).drop("text"))
     found = _all_spans(own, based, patterns_of(based, limits), _with_base(own))
     text = F.coalesce("text", F.lit(""))
@@ -228,4 +229,4 @@ def redact(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B0
     out = found.withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*masked.columns).toDF(*docs.columns)

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WS, cut, let
+from weftline.llm.common import WS, cut, hidden, let
 
 #: Function words by language: what a text in it can hardly do without.
 COMMON = {
@@ -50,18 +50,29 @@ def _without(text: Column, pattern: str) -> Column:
 
 
 def _n_repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more. Hashes only show which texts have none."""
-    span = F.sequence(F.lit(0), F.size(words) - 3)
+    """Words inside 3-word windows that occur twice or more. Windows are compared by hash, those of equal hash by their words."""
 
-    def covered(windows: Column) -> Column:
-        same = lambda k, d: F.get(windows, k + d)["t"] == F.get(windows, k)["t"]
-        places = F.transform(F.sequence(F.lit(0), F.size(windows) - 1), lambda k: F.when(F.coalesce(same(k, -1), F.lit(False)) | F.coalesce(same(k, 1), F.lit(False)), F.get(windows, k)["i"]))
-        steps = lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(3), lambda n, k: n + F.least(F.lit(3), F.get(p, k) - F.get(p, k - 1)))
-        return let(F.sort_array(F.filter(places, lambda i: i.isNotNull())), steps)
+    def twice(rows: Column, key: str) -> Column:
+        """Those of sorted rows that share their key with a neighbour."""
+        same = lambda row, k, d: F.coalesce(F.get(rows, k + d)[key] == row[key], F.lit(False))
+        return F.filter(rows, lambda row, k: same(row, k, -1) | same(row, k, 1))
 
-    exact = let(F.sort_array(F.transform(span, lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("t"), i.alias("i")))), covered)
-    hashes = F.transform(span, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when(F.size(words) < 4, 0).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(exact)))
+    def window(i: Column) -> Column:
+        return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+
+    def exact(hashes: Column) -> Column:
+        by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        texts = let(by_hash, lambda rows: F.sort_array(F.transform(twice(rows, "h"), lambda row: F.struct(window(row["i"]).alias("t"), row["i"].alias("i")))))
+        return let(F.sort_array(F.transform(let(texts, lambda rows: twice(rows, "t")), lambda row: row["i"])), _reach)
+
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(F.size(words) < 4, 0).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(exact(h))))
+
+
+def _reach(places: Column) -> Column:
+    """Words in windows of three that begin at the sorted places."""
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(places, start, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")), lambda acc: acc["n"])
 
 
 def measure(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
@@ -97,7 +108,11 @@ def measure(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B
 
 
 def references(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """Histograms of all documents by language, and of all together under the key '': one row a declared language and one."""
+    """Histograms of documents by language, and of all together under the key '': one row a declared language and one.
+
+    Documents under the least number of words say nothing about a language and are left out.
+    """
+    measured = measured.where(F.col("n_words") >= limits.min_words)
     width = max(map(len, limits.common.values()))
     sums = [F.sum(F.col("_chars")[k]).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
     sums += [F.sum(F.get("_common", F.lit(k))).alias(f"w{k}") for k in range(width)]
@@ -146,6 +161,6 @@ def judge_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  #
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """The rows of docs that pass, with their own columns. Reads docs twice: only the histograms the first time."""
-    named = docs.select(F.struct("*").alias("_own"), "text", "lang")
+    own = hidden(docs, "text", "lang")
     refs = cut(references(measure(docs.select("text", "lang"), limits).select("_key", "_chars", "_common", "n_words"), limits))
-    return judge(measure(named, limits), refs, limits).where("kept and _row >= 0").select("_own.*")
+    return judge(measure(own, limits), refs, limits).where("kept and _row >= 0").select(*own.columns).toDF(*docs.columns)

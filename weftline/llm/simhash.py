@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, give_back
+from weftline.llm.common import cut, give_back, hidden
 from weftline.llm.components import connected_components, stars
 
 SEGMENTS = {"A": (0, 23), "B": (23, 23), "R": (46, 18)}
@@ -209,8 +209,13 @@ def near_duplicates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Dat
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that their component is named after, each once. Rows without an id can't be named and stay."""
-    own = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = near_duplicates(own.where("doc_id is not null"), ("doc_id", "_th")).where("doc_id = component_id").select("doc_id", "_th")
-    kept = own.where("doc_id is not null").join(found, ["doc_id", "_th"], "left_semi").dropDuplicates(["doc_id", "_th"])
-    return kept.unionByName(own.where("doc_id is null")).select(*docs.columns)
+    """The rows of docs that their component is named after, each once. Rows without an id can't be named and stay.
+
+    The rows to keep are chosen by id, hash of the text and, of repeated rows, number; the texts move once.
+    """
+    own = hidden(docs, "doc_id", "text").withColumns({"_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    found = near_duplicates(own.where("doc_id is not null"), ("doc_id", "_th")).where("doc_id = component_id").select("doc_id", "_th").distinct()
+    named = own.where("doc_id is not null").join(found, ["doc_id", "_th"], "left_semi")
+    # equal keys are in one task after the join: dropping repeats shuffles nothing
+    kept = named.dropDuplicates(["doc_id", "_th"])
+    return kept.unionByName(own.where("doc_id is null")).drop("_th").toDF(*docs.columns)
