@@ -17,13 +17,13 @@ from tokenizers import Tokenizer
 
 from weftline.llm import byte_bpe, chat_format, components, embedding_dedup, license_scan, packing, pii, quality_rules, simhash, suffix_dedup, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, key string, block long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, key string, block long, _th string, _base string, _id string, _h string, fp string, component string, _words string, kept string"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def docs(spark, texts, parts=3):
     """Documents with columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", 1) for i, t in texts], SCHEMA).repartition(parts)
+    return spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", 1, *"abcdefgh") for i, t in texts], SCHEMA).repartition(parts)
 
 
 def corpus(n=60, seed=1):
@@ -223,6 +223,35 @@ def test_pii_tight_fields_and_whole_values(spark):
         assert rows[100 + k].spans == (f"secret:{t.index(v)}:{t.index(v) + len(v)}" if v else ""), t
 
 
+def test_pii_patterns_of_later_generations(spark):
+    """Values that a confident field holds make another field confident, which finds values that no seed stands beside."""
+    hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(9)]
+    mixed = [f"Zz{k}-{'qr' * 6}-{k}x{k}" for k in range(12)]  # of no seed's shape
+    # fields whose values were all found, never seeds: two hops from any seed
+    far = [(k, f'a token = "{h}" b') for k, h in enumerate(hexes)] + [(20 + k, f'a token = "{m}" b') for k, m in enumerate(mixed)]
+    far += [(40 + k, f"c vault_ref: {m} d") for k, m in enumerate(mixed)] + [(60, "e vault_ref: last-word f")]
+    few = [(t, x) for t, x in far if t < 9 or t in (20, 21) or t >= 40]
+    assert by_id(pii.find(docs(spark, few)))[60].spans == "" and "vault_ref: " not in {r.context for r in pii.patterns_of(docs(spark, few)).collect()}
+    many = far + [(100 + k, f'a token = "{hashlib.sha1(str(100 + k).encode()).hexdigest()}" b') for k in range(120)]
+    assert by_id(pii.find(docs(spark, many)))[60].spans == "secret:13:22"
+
+
+def test_pii_patterns_by_joins_are_those_by_constants(spark):
+    secrets = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(9)]
+    texts = [(k % 7, f'w{k} token = "{s}" and api_key={s}, key: "x {k}" a@b.cd') for k, s in enumerate(secrets)] + [(None, 'no id token = "short"'), (50, None), (51, "")]
+    one = sorted(map(str, pii.find(docs(spark, texts)).collect()))
+    two = sorted(map(str, pii.find(docs(spark, texts), pii.Limits(inline=0)).collect()))
+    assert one == two and sum(r.n_secret for r in pii.find(docs(spark, texts)).collect()) >= 19
+    clean = [sorted(str(r) for r in pii.redact(docs(spark, texts), pii.Limits(inline=n)).collect()) for n in (0, 200)]
+    assert clean[0] == clean[1]
+
+
+def test_pii_text_of_very_many_spans(spark):
+    text = "a@b.cd " * 60_000
+    row = pii.find(docs(spark, [(1, text)])).collect()[0]
+    assert row.n_email == 60_000 and row.spans.endswith(f"email:{len(text) - 7}:{len(text) - 1}")
+
+
 @pytest.mark.parametrize("size", [3000, 1 << 20])
 def test_suffix_dedup(spark, size):
     texts = corpus(60)

@@ -1,23 +1,29 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are what fixed patterns find (emails, IP addresses, cards, phones) and long hexadecimal secrets. The text
-just before an identifier-like token is its lexical pattern if it names a field (ends in ``= : " ' #`` or the
-like); patterns and token values form a graph. Rounds of scoring follow: a pattern's confidence is the mean
-score of its distinct values, times a factor that asks for several of them; a value's score is one for seeds,
-else the noisy-or of its patterns. Both are keyed without case, so a shouted text shares the evidence of others.
+just before an identifier-like token (16 characters or more, with a digit) is its lexical pattern if it names a
+field (ends in ``= : " ' #`` or the like; the last 130 characters count); patterns and token values form a graph.
+Rounds of scoring follow: a value's score is one for seeds, else the noisy-or of the confident patterns it stands
+beside elsewhere, never of the pattern that it speaks for; a pattern's confidence is the mean score of its distinct
+values, times a factor that asks for several of them, and it is confident from a threshold on, if the scores amount
+to enough values. So values that confident patterns found make further patterns confident, which discover more.
+Patterns and values are keyed without case, so a shouted text shares the evidence of others.
 Confident patterns then mark the values beside them as further identifiers: the whole value after a named field
-(key=VALUE, key = "VALUE"), of whatever length and shape, else the identifier-like token. Patterns and values are
-keyed tables: sums are partial before each shuffle and only identifier-like tokens and names of fields enter them,
-so prose costs scans of regular expressions.
+(key=VALUE, key = "VALUE"), of whatever length and shape, else the identifier-like token.
+
+Texts are read twice, once for the graph and once for the spans, and move in no shuffle: patterns go along as
+constants while they are at most `inline`; beyond that, rows hear their own by joins of keys. In the graph's tables
+sums are partial before each shuffle, and only identifier-like tokens and names of fields enter them.
 
 Positions count code points, ends exclusive. Regular expressions are possessive and take no group in an
 unbounded loop, so long texts neither recurse nor retry. Null texts are empty. Repeated rows get their own
-spans; a null doc_id is kept. Extra columns are ignored by find() and kept by redact(). Empty tables give
-empty results.
+spans; a null doc_id is kept. Extra columns are ignored by find() and kept by redact(), whatever their names. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,9 +49,10 @@ SECRET = r"^(?i)[0-9a-f]{32,}$"
 #: A field's name and the marks after it, tight (key=, "key":") or spaced (key = "): the pattern of what follows.
 _MARK = r"[^\p{L}\p{N}_\s-]"
 NAMED = rf"(?<![\p{{L}}\p{{N}}_-])[\p{{L}}\p{{N}}_-]++(?=[^\p{{L}}\p{{N}}_\n-]{{0,30}}?[=:\"'#]){_MARK}{{0,8}}+(?:[ \t]{{1,3}}+{_MARK}{{1,8}}+){{0,2}}+[ \t]{{0,3}}+"
-#: The whole value at the start of a text, after a quote to the next of its kind in the line, else to white space or a closing mark.
-QUOTED = r"^[^{q}\n]++(?={q})"
-BARE = r"^[^\s\"'`<>,;(){}\[\]&]*[^\s\"'`<>,;(){}\[\]&.:!?]"
+#: The whole value after a field: after a quote to the next of its kind in the line, else to white space or a closing mark.
+_QUOTED = "|".join(f"(?<={q})[^{q}\\n]++(?={q})" for q in "\"'`")
+_BARE = r"[^\s\"'`<>,;(){}\[\]&]*[^\s\"'`<>,;(){}\[\]&.:!?]"
+VALUED = rf"{NAMED}(?=({_QUOTED}|{_BARE}|))"
 #: Without a named field, the end of the text before a token that is its pattern: up to two words and what touches the token.
 CONTEXT = r"((?:[^\s\x00]{1,40}[ \t]{1,3}){0,2}[^\s\x00]{0,40})$"
 #: A pattern names a field: it holds a mark of assignment or quotation.
@@ -57,20 +64,40 @@ class Limits:
     rounds: int = 3
     min_values: int = 5
     min_confidence: float = 0.8
+    #: Patterns that go along as constants; more are heard by joins.
+    inline: int = 200
+
+
+_NONE = "cast(array() as array<struct<start:int,end:int,value:string,before:string>>)"
+
+
+def _fold(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], none: str, stretch: int = 256) -> Column:
+    """The arrays that step(state, item) gives beside its next state, joined; in stretches, as each append copies what it appends to."""
 
+    def one(acc: Column, x: Column) -> Column:
+        state, out = step(acc["s"], x)
+        return F.struct(state.alias("s"), F.concat(acc["o"], out).alias("o"))
 
-def _spans(text: Column, pattern: str, keep: Column | None = None) -> Column:
-    """array<struct<start,end,value>> of a pattern's matches."""
-    both = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string>>)").alias("out"))
+    def some(acc: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(items, k * stretch + 1, F.lit(stretch)), F.struct(acc["s"].alias("s"), F.expr(none).alias("o")), one)
+        return let(inner, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o")))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + F.length(m["gap"])
+    whole = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / stretch).cast("int")), F.struct(start.alias("s"), F.array(F.expr(none)).alias("o")), some, lambda acc: F.flatten(acc["o"]))
+    return F.when(F.size(items) > 0, whole).otherwise(F.expr(none))
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,value,before>> of a pattern's matches."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"))
+
+    def step(state: Column, m: Column) -> tuple[Column, Column]:
+        begin = state["at"] + F.length(m["gap"])
         end = begin + F.length(m["value"])
-        one = F.struct(begin.alias("start"), end.alias("end"), m["value"].alias("value"), F.right(F.concat(acc["last"], m["gap"]), F.lit(130)).alias("before"))
-        return F.struct(end.alias("at"), F.right(m["value"], F.lit(130)).alias("last"), F.concat(acc["out"], F.array(one)).alias("out"))
+        one = F.struct(begin.alias("start"), end.alias("end"), m["value"].alias("value"), F.right(F.concat(state["last"], m["gap"]), F.lit(130)).alias("before"))
+        return F.struct(end.alias("at"), F.right(m["value"], F.lit(130)).alias("last")), F.array(one)
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    zipped = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("value")))
+    return let(zipped, lambda both: _fold(both, zero, step, _NONE))
 
 
 def _digits(value: Column) -> Column:
@@ -101,21 +128,18 @@ def base_spans(text: Column, kind: str) -> Column:
     """array<struct<start,end,value,before>> of the kind's valid matches."""
     found = F.filter(_spans(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
     hint = F.contains(text, F.lit(_HINTS[kind])) if _HINTS[kind] else F.lit(True)
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string>>)")
-    return F.when(hint & text.rlike(PATTERNS[kind]), found).otherwise(none)
+    return F.when(hint & text.rlike(PATTERNS[kind]), found).otherwise(F.expr(_NONE))
 
 
 def _with_base(docs: DataFrame) -> DataFrame:
-    """docs with _base: array<struct<kind,start,end,value,before>> by kind, then start; _tokens, identifier-like tokens; _fields, named fields."""
+    """docs with _base: array<struct<kind,start,end,value,before>> by kind, then start; _tokens, identifier-like tokens."""
     text = F.coalesce("text", F.lit(""))
 
     def named(kind: str) -> Column:
         return F.transform(base_spans(text, kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["before"].alias("before")))
 
     tokens = F.when(text.rlike(TOKEN), F.filter(_spans(text, TOKEN), lambda s: s["value"].rlike("[0-9]")))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string>>)")
-    fields = F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NAMED), F.lit(0)), F.lower)), lambda c: c.rlike(FIELD))
-    return docs.withColumns({"_base": F.concat(*map(named, KINDS)), "_tokens": F.coalesce(tokens, none), "_fields": fields})
+    return docs.withColumns({"_base": F.concat(*map(named, KINDS)), "_tokens": F.coalesce(tokens, F.expr(_NONE))})
 
 
 def _context(before: Column) -> Column:
@@ -123,98 +147,96 @@ def _context(before: Column) -> Column:
     return F.lower(F.when(named.rlike(FIELD), named).otherwise(F.regexp_extract(before, CONTEXT, 1)))
 
 
-def patterns_of(based: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """Confident patterns: (context, confidence, n_values). based: _base and _tokens of all documents."""
+def patterns_of(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """Confident patterns: (context, confidence, n_values). docs: all texts."""
     keep = lambda s: s["before"].rlike(FIELD)
+    based = _with_base(docs.select("text"))
     seeds = F.transform(F.filter("_base", keep), lambda s: F.struct(s["value"].alias("value"), s["before"].alias("before"), F.lit(True).alias("seed")))
     tokens = F.transform(F.filter("_tokens", keep), lambda s: F.struct(s["value"].alias("value"), s["before"].alias("before"), s["value"].rlike(SECRET).alias("seed")))
     each = based.select(F.explode(F.concat(seeds, tokens)).alias("e")).select(F.lower("e.value").alias("value"), "e.seed", _context(F.col("e.before")).alias("context"))
     edges = cut(each.where(F.col("context").rlike(FIELD)).groupBy("context", "value").agg(F.max("seed").alias("seed")))
     scores = edges.withColumn("score", F.col("seed").cast("double"))
-    for _ in range(limits.rounds):
-        named = scores.groupBy("context").agg(F.avg("score").alias("mean"), F.count("*").alias("n_values"))
+    for turn in range(limits.rounds + 1):
+        named = scores.groupBy("context").agg(F.avg("score").alias("mean"), F.sum("score").alias("weight"), F.count("*").alias("n_values"))
         named = named.withColumn("confidence", F.col("mean") * (1 - F.exp(-F.col("n_values") / limits.min_values * 1.5)))
-        # a value is right if any of its patterns is: 1 - prod(1 - confidence)
-        missed = edges.join(named.select("context", "confidence"), "context").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("heard"))
-        scores = cut(edges.join(missed, "value").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("heard"))).select("context", "value", "seed", "score"))
-    found = scores.groupBy("context").agg(F.avg("score").alias("mean"), F.count("*").alias("n_values"), F.sum(F.col("seed").cast("long")).alias("n_seeds"))
-    confidence = F.col("mean") * (1 - F.exp(-F.col("n_values") / limits.min_values * 1.5))
-    found = found.withColumn("confidence", confidence).where((F.col("confidence") >= limits.min_confidence) & (F.col("n_seeds") >= limits.min_values))
-    return cut(found.select("context", "confidence", "n_values"))
+        # found values count as much as they are believed, and five seeds' worth of belief makes a pattern
+        named = named.where((F.col("confidence") >= limits.min_confidence) & (F.col("weight") >= limits.min_values * limits.min_confidence))
+        if turn == limits.rounds:
+            return cut(named.select("context", "confidence", "n_values"))
+        # a value is right if any of its patterns is: 1 - prod(1 - confidence), over the patterns other than the one it speaks for
+        doubt = F.coalesce(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))), F.lit(0.0))
+        heard = edges.join(named.select("context", "confidence"), "context", "left").withColumn("doubt", doubt)
+        total = heard.groupBy("value").agg(F.sum("doubt").alias("total"))
+        found = F.greatest(F.lit(0.0), 1 - F.exp(F.col("total") - F.col("doubt")))
+        scores = cut(heard.join(total, "value").select("context", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(found).alias("score")))
+    raise AssertionError
 
 
-def _value_spans(text: Column, contexts: Column) -> Column:
-    """array<struct<start,end>> of the whole values after the named fields that contexts holds."""
-    found = F.regexp_extract_all(text, F.lit(NAMED), F.lit(0))
-    both = F.arrays_zip(F.slice(F.split(text, NAMED, -1), 1, F.size(found)).alias("gap"), found.alias("name"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<at:int,quote:string>>)").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        end = acc["at"] + F.length(m["gap"]) + F.length(m["name"])
-        one = F.array(F.struct(end.alias("at"), F.right(m["name"], F.lit(1)).alias("quote")))
-        return F.struct(end.alias("at"), F.when(F.array_contains(contexts, F.lower(m["name"])), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    def span(m: Column) -> Column:
-        rest = F.substring(text, m["at"] + 1, F.length(text))
-        whole = F.coalesce(*[F.when(m["quote"] == q, F.regexp_extract(rest, QUOTED.replace("{q}", q), 0)) for q in "\"'`"], F.lit(""))
-        value = F.when(whole != "", whole).otherwise(F.regexp_extract(rest, BARE, 0))
-        return F.struct(m["at"].alias("start"), (m["at"] + F.length(value)).alias("end"))
-
-    return F.filter(F.transform(F.aggregate(both, start, step, lambda acc: acc["out"]), span), lambda v: v["start"] < v["end"])
-
-
-def _found(own: DataFrame, based: DataFrame, patterns: DataFrame) -> DataFrame:
-    """_KEYS and _secrets, the spans (start, end) beside confident patterns that no base span holds: tokens, and whole values of named fields. own: the texts."""
-    tokens = F.filter("_tokens", lambda t: t["before"].rlike(FIELD) & ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    each = based.select(*_KEYS, F.explode(tokens).alias("t")).select(*_KEYS, "t.start", "t.end", _context(F.col("t.before")).alias("context"))
-    beside = each.join(patterns.select("context"), "context", "left_semi").select(*_KEYS, "start", "end")
-    named = based.select(*_KEYS, "_base", F.explode("_fields").alias("context")).join(patterns.select("context"), "context", "left_semi")
-    named = named.groupBy(*_KEYS).agg(F.collect_set("context").alias("_contexts"), F.first("_base").alias("_own")).withColumnsRenamed({"doc_id": "_id", "_th": "_h"})
-    texts = own.select(*_KEYS, F.coalesce("text", F.lit("")).alias("_text")).join(named, own["doc_id"].eqNullSafe(F.col("_id")) & (own["_th"] == F.col("_h")))
-    values = F.filter(_value_spans(F.col("_text"), F.col("_contexts")), lambda v: ~F.exists("_own", lambda b: (b["start"] <= v["start"]) & (v["end"] <= b["end"])))
-    spans = beside.union(texts.select(*_KEYS, F.explode(values).alias("v")).select(*_KEYS, "v.start", "v.end"))
-    every = spans.groupBy(*_KEYS).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_every"))
-    # of spans within others, the whole ones stay
-    whole = F.filter("_every", lambda s: ~F.exists("_every", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
-    return every.select(*_KEYS, whole.alias("_secrets"))
+def _field_names(text: Column) -> Column:
+    """Named fields of a text, lower-cased."""
+    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NAMED), F.lit(0)), F.lower)), lambda c: c.rlike(FIELD))
 
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+def _value_spans(text: Column, contexts: Column) -> Column:
+    """array<struct<start,end>> (with value and before, empty) of the whole values after the named fields that contexts holds."""
 
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        end = at + F.length(m["gap"]) + F.length(m["name"])
+        one = F.array(F.struct(end.alias("start"), (end + F.length(m["value"])).alias("end"), F.lit("").alias("value"), F.lit("").alias("before")))
+        return end, F.when((F.length(m["value"]) > 0) & F.array_contains(contexts, F.lower(m["name"])), one).otherwise(F.expr(_NONE))
 
-_KEYS = ["doc_id", "_th"]
+    zipped = let(F.regexp_extract_all(text, F.lit(NAMED), F.lit(0)), lambda names: F.arrays_zip(F.slice(F.split(text, NAMED, -1), 1, F.size(names)).alias("gap"), names.alias("name"), F.regexp_extract_all(text, F.lit(VALUED), F.lit(1)).alias("value")))
+    return let(zipped, lambda both: _fold(both, F.lit(0), step, _NONE))
 
 
-def find(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """doc_id, counts by kind, base_sha256, spans (with those the method adds, of kind secret), n_secret: for each row."""
-    own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
-    based = cut(_with_base(own).drop("text"))
-    return _report(own, based, patterns_of(based, limits))
+def _marked(docs: DataFrame, contexts: Column) -> DataFrame:
+    """docs (with text) and _plain, spans (kind, start, end) of the fixed patterns; _added, those beside the patterns in contexts that no base span holds."""
+    text = F.coalesce("text", F.lit(""))
+    based = _with_base(docs)
+    beside = F.filter("_tokens", lambda t: t["before"].rlike(FIELD) & ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & F.array_contains(contexts, _context(t["before"])))
+    values = F.filter(_value_spans(text, contexts), lambda v: ~F.exists("_base", lambda b: (b["start"] <= v["start"]) & (v["end"] <= b["end"])))
+    there = let(F.lower(text), lambda low: F.exists(contexts, lambda c: F.contains(low, c)))
+    every = F.concat(beside, F.when(there, values).otherwise(F.expr(_NONE)))
+    # of spans within others, the whole ones stay: the longest of those that begin first come first
+    ordered = F.array_distinct(F.transform(F.sort_array(F.transform(every, lambda s: F.struct(s["start"], (-s["end"]).alias("back")))), lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), F.lit("").alias("value"), F.lit("").alias("before"))))
+    whole = let(ordered, lambda spans: _fold(spans, F.lit(0), lambda reach, s: (F.greatest(reach, s["end"]), F.when(s["end"] > reach, F.array(s)).otherwise(F.expr(_NONE))), _NONE))
+    plain = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    added = F.transform(F.when(F.size(contexts) > 0, whole).otherwise(F.expr(_NONE)), lambda s: F.struct(F.lit("secret").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return based.withColumns({"_plain": plain, "_added": added})
+
+
+def _all_spans(own: DataFrame, limits: Limits) -> DataFrame:
+    """own (doc_id, text and any _own columns) with _plain and _added."""
+    patterns = patterns_of(own, limits).select("context")
+    few = patterns.limit(limits.inline + 1).collect()  # at most inline + 1 rows
+    if len(few) <= limits.inline:
+        listed = F.array(*[F.lit(r.context) for r in sorted(few)]) if few else F.expr("cast(array() as array<string>)")
+        return _marked(own, listed)
+    keyed = own.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    text = F.coalesce("text", F.lit(""))
+    names = F.concat(_field_names(text), F.transform(F.filter("_tokens", lambda t: t["before"].rlike(FIELD)), lambda t: _context(t["before"])))
+    each = _with_base(keyed.select("doc_id", "_th", "text")).select("doc_id", "_th", F.explode(F.array_distinct(names)).alias("context"))
+    heard = each.join(patterns, "context", "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_h")).agg(F.collect_set("context").alias("_contexts"))
+    both = keyed.join(heard, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_th"] == F.col("_h")), "left")
+    return _marked(both.withColumn("_contexts", F.coalesce("_contexts", F.expr("cast(array() as array<string>)"))), F.col("_contexts"))
 
 
-def _all_spans(own: DataFrame, based: DataFrame, patterns: DataFrame, wide: DataFrame | None = None) -> DataFrame:
-    """based, or wide (with _base and the same rows), with _plain and _added."""
-    secrets = _found(own, based, patterns).withColumnsRenamed({"doc_id": "_id", "_th": "_h"})
-    wide = based if wide is None else wide
-    both = wide.join(secrets, wide["doc_id"].eqNullSafe(F.col("_id")) & (wide["_th"] == F.col("_h")), "left").drop("_id", "_h")
-    base = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    added = F.transform("_secrets", lambda s: F.struct(F.lit("secret").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
-    return both.withColumns({"_plain": base, "_added": F.coalesce(added, none)})
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _report(own: DataFrame, based: DataFrame, patterns: DataFrame) -> DataFrame:
+def find(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """doc_id, counts by kind, base_sha256, spans (with those the method adds, of kind secret), n_secret, n_spans: for each row."""
     count = lambda k: F.size(F.filter("_plain", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return _all_spans(own, based, patterns).select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined(F.col("_plain")), 256).alias("base_sha256"), _joined(F.concat("_plain", "_added")).alias("spans"), F.size("_added").cast("long").alias("n_secret"))
+    found = _all_spans(docs.select("doc_id", "text"), limits)
+    every = F.concat("_plain", "_added")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined(F.col("_plain")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("_added").cast("long").alias("n_secret"), F.size(every).cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """docs with each span (overlapping ones as one) replaced by its kind in brackets, [email] for instance; n_chars follows."""
     masked = hidden(docs, "doc_id", "text", "n_chars")
-    own = masked.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    based = cut(_with_base(own.select(*_KEYS, "text")).drop("text"))
-    found = _all_spans(own, based, patterns_of(based, limits), _with_base(own))
+    found = _all_spans(masked, limits)
     text = F.coalesce("text", F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
