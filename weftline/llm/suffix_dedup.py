@@ -163,20 +163,24 @@ def _dealt(records: np.ndarray, by: np.ndarray, block: int, bits: int, kind: str
     return [(int(bucket[a]), block, kind, _packed(records[a:b])) for a, b in _cuts(bucket)]
 
 
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
 def _packed(records: np.ndarray) -> bytes:
-    """Field by field, so that equal places of records stand together; 4 bytes of count, then zstandard."""
-    plain = b"".join(np.ascontiguousarray(records[f]).tobytes() for f in records.dtype.names)
-    return len(records).to_bytes(4, "little") + pa.compress(plain, "zstd", asbytes=True)
+    """4 bytes of count, then fields one after another, of numbers byte by byte: like stands beside like for the compression."""
+    parts = [np.ascontiguousarray(records[f]) for f in records.dtype.names]
+    plain = b"".join((x if x.ndim > 1 else x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in parts)
+    return len(records).to_bytes(4, "little") + _CODEC.compress(plain, asbytes=True)
 
 
 def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
-    plain, at = pa.decompress(data[4:], n * kind.itemsize, "zstd", asbytes=True), 0
+    plain, at = np.frombuffer(_CODEC.decompress(data[4:], n * kind.itemsize, asbytes=True), np.uint8), 0
     out = np.zeros(n, kind)
     for f in kind.names:
-        own = kind[f]
-        out[f] = np.frombuffer(plain, own.base, n * max(1, int(np.prod(own.shape))), at).reshape(n, *own.shape)
-        at += n * own.itemsize
+        own = plain[at : at + n * kind[f].itemsize]
+        out[f] = own.reshape(n, -1) if kind[f].shape else np.ascontiguousarray(own.reshape(-1, n).T).view(kind[f]).ravel() if n else 0
+        at += n * kind[f].itemsize
     return out
 
 
@@ -193,7 +197,7 @@ def blocks_of(docs: DataFrame, bytes_a_block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
         waiting: list[pa.RecordBatch] = []
         size = 0
 
@@ -249,6 +253,8 @@ def _by_bucket(rows: DataFrame, settle: Callable[[list[tuple[int, str, bytes]]],
                 own.append(row)
         if own:
             yield _rows(settle(own))
+        own.clear()
+        give_back()
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _ROWS)
 
@@ -258,6 +264,19 @@ def _gathered(rows: list[tuple[int, str, bytes]], kind: np.dtype) -> tuple[np.nd
     return np.repeat(np.array([b for b, _, _ in rows], np.int64), [len(p) for p in parts]), np.concatenate([np.zeros(0, kind), *parts])
 
 
+def _block_by_block(blocks: DataFrame, one: Callable[..., list[tuple]]) -> DataFrame:
+    """The rows that one(number, payload, told if any) gives for each block. Memory goes back after each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield _rows(one(*row))
+                del row
+                give_back()
+
+    return blocks.mapInArrow(run, _ROWS)
+
+
 def _told(blocks: DataFrame, messages: DataFrame, how: str = "inner") -> DataFrame:
     """Blocks with what they are told; only the messages move."""
     heard = messages.groupBy("block").agg(F.collect_list(F.struct("kind", "data")).alias("told"))
@@ -322,26 +341,24 @@ def _heard(told: list[dict], kind: str, record: np.dtype) -> np.ndarray:
 
 def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
     """(block, kind, data) messages: SPAN records, the byte ranges covered by windows of a smaller document."""
-    bits = max(8, max(1, blocks.count()).bit_length() - 1)  # some two blocks' worth of digits a bucket
+    bits = max(6, max(1, blocks.count()).bit_length() - 2)  # some four blocks' worth of digits a bucket
     half = (window - gram + 1) // 2
     width = 2 * window - gram  # of the longest run: as many windows as can have one anchor
     run_of, window_of = (np.dtype([("t", "u1", (w,)), *SUFFIX]) for w in (width, window))
 
-    def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                give_back()
-                _, block, _, has = _opened(payload)
-                k, doc, *_ = _runs(block, has, window, gram)
-                order = np.lexsort((doc, k))
-                k, doc = k[order], doc[order]
-                new = _first(k)
-                at = np.flatnonzero(new)
-                if len(at):
-                    last = doc[np.append(at[1:], len(k)) - 1]
-                    # the lowest bit says that two documents of the block have it
-                    own = _records(DIGIT, k=k[at] & ~np.uint64(1) | (last != doc[at]))
-                    yield _rows(_dealt(own, own["k"], number, bits))
+    def digits(number: int, payload: bytes) -> list[tuple]:
+        _, block, _, has = _opened(payload)
+        k, doc, *_ = _runs(block, has, window, gram)
+        order = np.lexsort((doc, k))
+        k, doc = k[order], doc[order]
+        new = _first(k)
+        at = np.flatnonzero(new)
+        if len(at):
+            last = doc[np.append(at[1:], len(k)) - 1]
+            # the lowest bit says that two documents of the block have it
+            own = _records(DIGIT, k=k[at] & ~np.uint64(1) | (last != doc[at]))
+            return _dealt(own, own["k"], number, bits)
+        return []
 
     def share(rows: list[tuple]) -> list[tuple]:
         block, got = _gathered(rows, DIGIT)
@@ -353,7 +370,7 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
         keep = ((np.bincount(group) > 1) | (np.bincount(group, weights=many) > 0))[group]
         return _returned(block[order][keep], _records(DIGIT, k=k[keep]), "digit")
 
-    shared = cut(_by_bucket(blocks.mapInArrow(digits, _ROWS), share))
+    shared = cut(_by_bucket(_block_by_block(blocks, digits), share))
 
     def sides(block: Block, k: np.ndarray, doc: np.ndarray, at: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the anchor with the text before it, and after it: equal where the texts are, of one run where the document ends."""
@@ -363,33 +380,30 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
         right = np.where(at + gram + half <= end, block.hashes(np.minimum(at + gram, end), np.minimum(at + gram + half, end)), ~alone)
         return _mix(left ^ k) & ~np.uint64(1), _mix(right + k) & ~np.uint64(1)
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload, told in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                give_back()
-                _, block, ids, has = _opened(payload)
-                k, doc, first, many, at = _runs(block, has, window, gram)
-                left, right = sides(block, k, doc, at, number)
-                live = np.isin(k & ~np.uint64(1), _heard(told, "digit", DIGIT)["k"])
-                k, doc, first, many, left, right = (x[live] for x in (k, doc, first, many, left, right))
-                text = block.text(first, many + window - 1, width)
-                place = ranks(np.column_stack([text, many.astype(np.uint8)]))  # texts may end in zeros
-                low = _low(ids[doc], place) == ids[doc]
-                start = first - block.starts[doc]
-                end = start + many + window - 1
-                rows = [(-1 - number % 997, number, "span", _packed(_records(SPAN, i=doc[~low], start=start[~low], end=end[~low])))] if not low.all() else []
-                s = block.hashes(first, first + many + window - 1)
-                order = np.flatnonzero(low)[np.argsort(place[low], kind="stable")]
-                rows += _dealt(_records(run_of, t=text[order], doc=ids[doc[order]], i=doc[order], start=start[order], n=many[order]), s[order], number, bits, "run")
-                # one row an edge: its second digit, and in the lowest bit of its key whether the block has several
-                edge, of = np.concatenate([left[low], right[low]]), np.concatenate([s[low], s[low]])
-                order = np.lexsort((of, edge))
-                edge, of = edge[order], of[order]
-                begin = np.flatnonzero(_first(edge))
-                if len(begin):
-                    several = of[np.append(begin[1:], len(of)) - 1] != of[begin]
-                    rows += _dealt(_records(EDGE, k=edge[begin] | several, s=of[begin]), edge[begin], number, bits, "edge")
-                yield _rows(rows)
+    def stretches(number: int, payload: bytes, told: list[dict]) -> list[tuple]:
+        _, block, ids, has = _opened(payload)
+        k, doc, first, many, at = _runs(block, has, window, gram)
+        left, right = sides(block, k, doc, at, number)
+        live = np.isin(k & ~np.uint64(1), _heard(told, "digit", DIGIT)["k"])
+        k, doc, first, many, left, right = (x[live] for x in (k, doc, first, many, left, right))
+        text = block.text(first, many + window - 1, width)
+        place = ranks(np.column_stack([text, many.astype(np.uint8)]))  # texts may end in zeros
+        low = _low(ids[doc], place) == ids[doc]
+        start = first - block.starts[doc]
+        end = start + many + window - 1
+        rows = [(-1 - number % 997, number, "span", _packed(_records(SPAN, i=doc[~low], start=start[~low], end=end[~low])))] if not low.all() else []
+        s = block.hashes(first, first + many + window - 1)
+        order = np.flatnonzero(low)[np.argsort(place[low], kind="stable")]
+        rows += _dealt(_records(run_of, t=text[order], doc=ids[doc[order]], i=doc[order], start=start[order], n=many[order]), s[order], number, bits, "run")
+        # one row an edge: its second digit, and in the lowest bit of its key whether the block has several
+        edge, of = np.concatenate([left[low], right[low]]), np.concatenate([s[low], s[low]])
+        order = np.lexsort((of, edge))
+        edge, of = edge[order], of[order]
+        begin = np.flatnonzero(_first(edge))
+        if len(begin):
+            several = of[np.append(begin[1:], len(of)) - 1] != of[begin]
+            rows += _dealt(_records(EDGE, k=edge[begin] | several, s=of[begin]), edge[begin], number, bits, "edge")
+        return rows
 
     def sort_runs(rows: list[tuple]) -> list[tuple]:
         block, r = _gathered([x for x in rows if x[1] == "run"], run_of)
@@ -408,33 +422,34 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
         open_ = ((s[begin] != s[last]) | (np.bincount(group, weights=several) > 0))[group]
         return found + _returned(block[order][open_], _records(DIGIT, k=k[open_]), "open")
 
-    second = cut(_by_bucket(_told(blocks, shared).mapInArrow(stretches, _ROWS), sort_runs))
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload, told in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                give_back()
-                open_, done = _heard(told, "open", DIGIT)["k"], _heard(told, "span", SPAN)
-                if not len(open_):
-                    continue
-                _, block, ids, has = _opened(payload)
-                k, doc, first, many, at = _runs(block, has, window, gram)
-                left, right = sides(block, k, doc, at, number)
-                # runs that an equal one of a smaller document covers are done
-                name = doc << 32 | first - block.starts[doc]
-                edge = (np.isin(left, open_) | np.isin(right, open_)) & ~np.isin(name, done["i"].astype(np.int64) << 32 | done["start"])
-                doc, first, many = (x[edge] for x in (doc, first, many))
-                row = np.repeat(np.arange(len(doc)), many)
-                start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                doc = doc[row]
-                text = block.text(start, window, window)
-                place = ranks(text)
-                low = _low(ids[doc], place) == ids[doc]
-                at = start - block.starts[doc]
-                over = _spans(doc[~low], at[~low], at[~low] + window)
-                rows = [(-1 - number % 997, number, "span", _packed(over))] if len(over) else []
-                order = np.flatnonzero(low)[np.argsort(place[low], kind="stable")]
-                yield _rows(rows + _dealt(_records(window_of, t=text[order], doc=ids[doc[order]], i=doc[order], start=at[order]), block.hashes(start[order], start[order] + window), number, bits, "window"))
+    second = cut(_by_bucket(_block_by_block(_told(blocks, shared), stretches), sort_runs))
+
+    def apart(number: int, payload: bytes, told: list[dict]) -> list[tuple]:
+        open_, done = _heard(told, "open", DIGIT)["k"], _heard(told, "span", SPAN)
+        if not len(open_):
+            return []
+        _, block, ids, has = _opened(payload)
+        k, doc, first, many, at = _runs(block, has, window, gram)
+        left, right = sides(block, k, doc, at, number)
+        # runs that an equal one of a smaller document covers are done
+        name = doc << 32 | first - block.starts[doc]
+        left, right = np.isin(left, open_), np.isin(right, open_)
+        edge = (left | right) & ~np.isin(name, done["i"].astype(np.int64) << 32 | done["start"])
+        doc, first, many, at, left, right = (x[edge] for x in (doc, first, many, at, left, right))
+        row = np.repeat(np.arange(len(doc)), many)
+        start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        # a window that holds a whole side can't repeat unless that side is shared
+        before = at[row] - start
+        some = (left[row] | (before < half)) & (right[row] | (window - gram - before < half))
+        start, doc = start[some], doc[row][some]
+        text = block.text(start, window, window)
+        place = ranks(text)
+        low = _low(ids[doc], place) == ids[doc]
+        at = start - block.starts[doc]
+        over = _spans(doc[~low], at[~low], at[~low] + window)
+        rows = [(-1 - number % 997, number, "span", _packed(over))] if len(over) else []
+        order = np.flatnonzero(low)[np.argsort(place[low], kind="stable")]
+        return rows + _dealt(_records(window_of, t=text[order], doc=ids[doc[order]], i=doc[order], start=at[order]), block.hashes(start[order], start[order] + window), number, bits, "window")
 
     def sort_windows(rows: list[tuple]) -> list[tuple]:
         block, r = _gathered(rows, window_of)
@@ -442,7 +457,7 @@ def repeated_spans(blocks: DataFrame, window: int = 50, gram: int = 20) -> DataF
         block, r = block[over], r[over]
         return _returned(block, _records(SPAN, i=r["i"], start=r["start"], end=r["start"] + window), "span")
 
-    third = cut(_by_bucket(_told(blocks, second).mapInArrow(apart, _ROWS), sort_windows))
+    third = cut(_by_bucket(_block_by_block(_told(blocks, second), apart), sort_windows))
     return second.where("kind = 'span'").union(third).select("block", "kind", "data")
 
 
