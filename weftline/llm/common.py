@@ -33,15 +33,19 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _cleaning, _lock, _before = 0, threading.Lock(), None
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, share: int = 1) -> DataFrame:
     """Reliable checkpoint: later stages restart from shared storage after an executor is lost.
 
+    share: df is at most so small a part of what the shuffle partitions are made for, and gets as many fewer files.
+
     The shuffle files behind it are deleted once it is written, as nothing reads them again. The session's setting
     for that is put back when the last of the cuts under way, in whatever thread, has ended.
     """
     global _cleaning, _before
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    if share > 1:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // share))
     with _lock:
         if not _cleaning:
             _before = spark.conf.get(_CLEANUP, None)

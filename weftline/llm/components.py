@@ -42,9 +42,9 @@ def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(names[some]), pa.array(names[root[some]])], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, share: int = 16) -> DataFrame:
     """(id, component) for every end of edges (u, v: long): component is the least id reachable. Loops and repeats are fine."""
-    now = cut(edges.select("u", "v").where("u != v").mapInArrow(forest, "u long, v long").distinct())
+    now = cut(edges.select("u", "v").where("u != v").mapInArrow(forest, "u long, v long").distinct(), share)
     state = None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -52,7 +52,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        now = cut(small)
+        now = cut(small, share)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if seen == state or seen[0] == seen[2] and _is_flat(now):
             break

@@ -101,6 +101,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024,
                 [batch.column(0).take(pa.array(cols[:, 0])), pa.array(cols[:, 1].astype(np.int32)), *(pa.array(cols[:, c]) for c in (2, 3, 4, 5)), pa.array(np.full(len(cols), part))],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "local", "part"],
             )
+            del rows, cols
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, local long, part long")
@@ -329,7 +331,7 @@ def pack(pieces: DataFrame, size: int = 1024, rounds: int = 40) -> DataFrame:
     """Adds sequence_id and offset to pieces (checkpointed, with part and local)."""
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_part = cut(by_part.withColumn("before", before))
+    by_part = cut(by_part.withColumn("before", before), 16)
     histogram = np.zeros(size + 1, np.int64)
     for row in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `size` rows
         histogram[row.length] = row.n

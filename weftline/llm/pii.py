@@ -154,7 +154,7 @@ def patterns_of(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noq
     seeds = F.transform(F.filter("_base", keep), lambda s: F.struct(s["value"].alias("value"), s["before"].alias("before"), F.lit(True).alias("seed")))
     tokens = F.transform(F.filter("_tokens", keep), lambda s: F.struct(s["value"].alias("value"), s["before"].alias("before"), s["value"].rlike(SECRET).alias("seed")))
     each = based.select(F.explode(F.concat(seeds, tokens)).alias("e")).select(F.lower("e.value").alias("value"), "e.seed", _context(F.col("e.before")).alias("context"))
-    edges = cut(each.where(F.col("context").rlike(FIELD)).groupBy("context", "value").agg(F.max("seed").alias("seed")))
+    edges = cut(each.where(F.col("context").rlike(FIELD)).groupBy("context", "value").agg(F.max("seed").alias("seed")), 8)
     scores = edges.withColumn("score", F.col("seed").cast("double"))
     for turn in range(limits.rounds + 1):
         named = scores.groupBy("context").agg(F.avg("score").alias("mean"), F.sum("score").alias("weight"), F.count("*").alias("n_values"))
@@ -162,13 +162,13 @@ def patterns_of(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noq
         # found values count as much as they are believed, and five seeds' worth of belief makes a pattern
         named = named.where((F.col("confidence") >= limits.min_confidence) & (F.col("weight") >= limits.min_values * limits.min_confidence))
         if turn == limits.rounds:
-            return cut(named.select("context", "confidence", "n_values"))
+            return cut(named.select("context", "confidence", "n_values"), 64)
         # a value is right if any of its patterns is: 1 - prod(1 - confidence), over the patterns other than the one it speaks for
         doubt = F.coalesce(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))), F.lit(0.0))
         heard = edges.join(named.select("context", "confidence"), "context", "left").withColumn("doubt", doubt)
         total = heard.groupBy("value").agg(F.sum("doubt").alias("total"))
         found = F.greatest(F.lit(0.0), 1 - F.exp(F.col("total") - F.col("doubt")))
-        scores = cut(heard.join(total, "value").select("context", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(found).alias("score")))
+        scores = cut(heard.join(total, "value").select("context", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(found).alias("score")), 8)
     raise AssertionError
 
 

@@ -162,5 +162,5 @@ def judge_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  #
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """The rows of docs that pass, with their own columns. Reads docs twice: only the histograms the first time."""
     own = hidden(docs, "text", "lang")
-    refs = cut(references(measure(docs.select("text", "lang"), limits).select("_key", "_chars", "_common", "n_words"), limits))
+    refs = cut(references(measure(docs.select("text", "lang"), limits).select("_key", "_chars", "_common", "n_words"), limits), 64)
     return judge(measure(own, limits), refs, limits).where("kept and _row >= 0").select(*own.columns).toDF(*docs.columns)

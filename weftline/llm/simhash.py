@@ -120,6 +120,7 @@ def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFr
                 for i, value in enumerate(batch.column(len(keys)).slice(k, 256).to_pylist()):
                     prints[k + i] = fingerprint(value)
             yield pa.record_batch([*batch.columns[: len(keys)], pa.array(prints.view(np.int64))], [*keys, "fp"])
+        give_back()
 
     kinds = "".join(f"{k} {docs.schema[k].dataType.simpleString()}, " for k in keys)
     return docs.select(*keys, "text").mapInArrow(run, f"{kinds}fp long")
@@ -200,11 +201,11 @@ def links(prints: DataFrame, wide: bool = False) -> DataFrame:
 def near_duplicates(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys (doc_id among them), fp, component_id for each row of docs: the least doc_id that a chain of links reaches."""
     each = cut(fingerprints(docs, keys))
-    nodes = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")), 16)
     found = connected_components(links(nodes, nodes.count() > WIDE_FROM))
     named = nodes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(least, "component").select("fp", "component_id"))
+    named = cut(named.join(least, "component").select("fp", "component_id"), 16)
     return each.join(named, "fp").select(*keys, "fp", "component_id")
 
 
