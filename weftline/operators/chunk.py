@@ -136,7 +136,7 @@ def strategy(page: Column, slide: Column, row: Column, titled: Column) -> Column
     return F.when(page > 0, "pages").when(slide > 0, "slides").when(row > 0, "rows").when(titled > 1, "sections").otherwise("paragraphs")
 
 
-def numbered(chunks: Column, doc_id: Column) -> Column:
+def numbered(chunks: Column, doc_id: Column, content_hash: Column) -> Column:
     """array<struct<id, index, total, content, tokens>> of a document's chunks, exact repeats left out."""
     kept = F.array_distinct(F.filter(chunks, lambda c: trim_all(c) != ""))
-    return F.transform(kept, lambda c, i: F.struct(F.concat(doc_id, F.lit(":chunk:"), F.substring(F.sha2(c, 256), 1, 12), F.lit(":"), i.cast("string")).alias("id"), i.alias("index"), F.size(kept).alias("total"), c.alias("content"), F.ceil(F.length(c) / 4).cast("long").alias("tokens")))
+    return F.transform(kept, lambda c, i: F.struct(F.concat(doc_id, F.lit(":chunk:"), F.substring(content_hash, 1, 12), F.lit(":"), i.cast("string")).alias("id"), i.alias("index"), F.size(kept).alias("total"), c.alias("content"), F.ceil(F.length(c) / 4).cast("long").alias("tokens")))

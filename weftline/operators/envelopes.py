@@ -119,3 +119,13 @@ def signed(document: Column, signer: Callable[[bytes], str]) -> Column:
         return documents.map(lambda d: None if d is None else signer(payload_of(d)))
 
     return run(document)
+
+
+def verified(document: Column, signature: Column, verifier: Callable[[bytes, str], bool]) -> Column:
+    """Whether the verifier takes each record's signature; false without one."""
+
+    @F.pandas_udf("boolean")
+    def run(documents: pd.Series, signatures: pd.Series) -> pd.Series:
+        return pd.Series([d is not None and s is not None and bool(verifier(payload_of(d), s)) for d, s in zip(documents, signatures, strict=True)], dtype=bool)
+
+    return run(document, signature)

@@ -7,6 +7,8 @@ valid_from, valid_until, trust_level, provides_data, provides_instructions, sens
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,11 +73,13 @@ _GROUP = ("envelope_id", "array_key")
 
 
 def dedupe(items: DataFrame) -> DataFrame:
-    """The first of the items of one type and content in an array: the group's highest priority if there are several, its tags together."""
+    """The first of the items of one type and content in an array, with all its columns; of several, the highest priority and all tags."""
     key = [*_GROUP, "item_type", F.coalesce("content", F.lit("")).alias("_content")]
-    first = F.min_by(F.struct("id", "pos", "content", "status", "relevance", "trust_level", "sensitivity", "priority"), F.struct("pos", "id")).alias("f")
-    grouped = items.groupBy(*key).agg(first, F.max(F.coalesce("priority", F.lit(0))).alias("most"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"), F.count("*").alias("n"))
-    return grouped.select(*_GROUP, "item_type", "f.id", "f.pos", "f.content", "f.status", "f.relevance", "f.trust_level", "f.sensitivity", F.when(F.col("n") > 1, F.col("most")).otherwise(F.col("f.priority")).alias("priority"), "tags", "n")
+    rest = [c for c in items.columns if c not in (*_GROUP, "item_type", "priority", "tags")]
+    first = F.min_by(F.struct(*rest, "priority", "tags"), F.struct("pos", "id")).alias("f")
+    grouped = items.groupBy(*key).agg(first, F.max(F.coalesce("priority", F.lit(0))).alias("most"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("every"), F.count("*").alias("n"))
+    several = F.col("n") > 1
+    return grouped.select(*_GROUP, "item_type", *[f"f.{c}" for c in rest], F.when(several, F.col("most")).otherwise(F.col("f.priority")).alias("priority"), F.when(several, F.col("every")).otherwise(F.col("f.tags")).alias("tags"), "n")
 
 
 def dropped_duplicates(items: DataFrame) -> DataFrame:
@@ -102,21 +106,35 @@ def redaction_rule(boundary: str | None) -> Column:
     return F.coalesce(own, universal_rule(), F.try_element_at("handling", F.lit(1))["rule"], default)
 
 
-def redact(items: DataFrame, boundary: str | None = None, marker: str = "[REDACTED]") -> DataFrame:
-    """Adds rule; contents are replaced or summarized, excluded items leave."""
+def redact(items: DataFrame, boundary: str | None = None, marker: str = "[REDACTED]", now: str | None = None, summarizer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds rule; contents are replaced or summarized, excluded items leave. now: adds redaction, what was applied when."""
     ruled = items.withColumn("rule", redaction_rule(boundary))
     summary = F.concat(F.lit("[SUMMARIZED: "), F.length(F.coalesce("content", F.lit(""))).cast("string"), F.lit(" chars omitted]"))
+    summary = summary if summarizer is None else summarizer(F.coalesce("content", F.lit("")))
+    if now is not None:
+        ruled = ruled.withColumn("redaction", F.when(F.col("rule") != "allow", F.struct("rule", F.lit(now).alias("applied_at"))))
     return ruled.where("rule != 'exclude'").withColumn("content", F.when(F.col("rule") == "redact", marker).when(F.col("rule") == "summarize", summary).otherwise(F.col("content")))
 
 
+def redaction_lists(items: DataFrame, boundary: str | None = None) -> DataFrame:
+    """(list, and the items' columns): what needs consent, stays local or is excluded."""
+    names = {"require-consent": "requires-consent", "local-only": "local-only", "exclude": "excluded"}
+    name = F.coalesce(*[F.when(redaction_rule(boundary) == rule, n) for rule, n in names.items()])
+    return items.select(name.alias("list"), "*").where("list is not null")
+
+
+#: What two copies of an item must share to be the same; priority and tags may differ. Whole payloads are compared in combine.
+_SUBSTANCE = ("item_type", "content", "status", "relevance", "trust_level", "provides_data", "provides_instructions", "sensitivity", "handling", "scope", "valid_from", "valid_until")
+
+
 def fingerprint() -> Column:
-    """Equality of two items' contents for a merge: everything but priority, tags and relationships."""
-    return F.to_json(F.struct("item_type", "content", "status", "relevance", "trust_level", "sensitivity"), {"ignoreNullFields": "false"})
+    """Equality of two items' contents for a merge: everything but priority and tags."""
+    return F.to_json(F.struct(*_SUBSTANCE), {"ignoreNullFields": "false"})
 
 
 def _last(items: DataFrame) -> DataFrame:
     """One item an id: of repeated ids the last counts."""
-    cols = ["item_type", "content", "status", "relevance", "trust_level", "sensitivity", "priority", "tags", "pos"]
+    cols = [*_SUBSTANCE, "priority", "tags", "pos"]
     return items.groupBy(*_GROUP, "id").agg(F.max_by(F.struct(*cols), F.struct("pos", "content")).alias("x")).select(*_GROUP, "id", *[f"x.{c}" for c in cols])
 
 
@@ -137,7 +155,7 @@ def merge(a: DataFrame, b: DataFrame, prefer: str = "b") -> DataFrame:
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(envelope_id, array_key, id, kind): added, removed or changed items."""
-    full = F.to_json(F.struct("item_type", "content", "status", "relevance", "trust_level", "sensitivity", "priority", "tags"), {"ignoreNullFields": "false"})
+    full = F.to_json(F.struct(*_SUBSTANCE, "priority", "tags"), {"ignoreNullFields": "false"})
     a, b = (_last(x).select(*_GROUP, "id", full.alias(n)) for x, n in ((before, "a"), (after, "b")))
     kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
     return a.join(b, [*_GROUP, "id"], "full_outer").select(*_GROUP, "id", kind.alias("kind")).where("kind is not null")

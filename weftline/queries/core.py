@@ -70,7 +70,7 @@ def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("id", op.drop_reason(NOW, 0.5).alias("reason"))
 
 
-_DEDUPED = "d as (select envelope_id, array_key, item_type, arg_min(id, pos) as id, min(pos) as pos, content, case when count(*) > 1 then max(coalesce(priority, 0)) else arg_min(priority, pos) end as priority, arg_min(relevance, pos) as relevance, list_sort(list_distinct(flatten(list(tags)))) as tags, cast(count(*) as bigint) as n from {0} group by envelope_id, array_key, item_type, content)"
+_DEDUPED = "d as (select envelope_id, array_key, item_type, arg_min(id, pos) as id, min(pos) as pos, content, case when count(*) > 1 then max(coalesce(priority, 0)) else arg_min(priority, pos) end as priority, arg_min(relevance, pos) as relevance, case when count(*) > 1 then list_sort(list_distinct(flatten(list(tags)))) else arg_min(tags, pos) end as tags, cast(count(*) as bigint) as n from {0} group by envelope_id, array_key, item_type, content)"
 
 
 @query("dedupe_exact", _I + "," + _DEDUPED.format("i") + " select envelope_id, array_key, id, cast(coalesce(case when n > 1 then priority else (select i.priority from i where i.id = d.id) end, -1) as bigint) as priority, array_to_string(tags, ',') as tags, n from d")

@@ -57,10 +57,11 @@ def chunk_max_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", chunk.fit_tokens(F.array("text"), 300).alias("c")).select("doc_id", *_digest(F.col("c")))
 
 
-@query("chunk_ids", f"with u as (select doc_id, unnest(list_distinct({_TRIM})) as content from documents) select doc_id, cast(count(*) as bigint) as chunks, cast(sum(cast(ceil(length(content) / 4.0) as bigint)) as bigint) as tokens, min(substr(sha256(content), 1, 12)) as first_hash from u group by 1")
+@query("chunk_ids", f"with u as (select doc_id, unnest(list_distinct({_TRIM})) as content, sha256(text) as h from documents) select doc_id, cast(count(*) as bigint) as chunks, cast(sum(cast(ceil(length(content) / 4.0) as bigint)) as bigint) as tokens, doc_id || ':chunk:' || substr(any_value(h), 1, 12) || ':0' as first_id from u group by 1")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _docs(spark, sf_dir).select("doc_id", F.explode(chunk.numbered(chunk.lines(F.col("text")), F.col("doc_id").cast("string"))).alias("x"))
-    return each.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("x.tokens").alias("tokens"), F.min(F.element_at(F.split("x.id", ":"), 3)).alias("first_hash"))
+    """A chunk's id: the document's, the beginning of the document's hash, the chunk's number."""
+    each = _docs(spark, sf_dir).select("doc_id", F.explode(chunk.numbered(chunk.lines(F.col("text")), F.col("doc_id").cast("string"), F.sha2("text", 256))).alias("x"))
+    return each.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("x.tokens").alias("tokens"), F.min_by("x.id", "x.index").alias("first_id"))
 
 
 @query("chunk_rows", "select l_orderkey, string_agg('line: ' || l_linenumber || chr(10) || 'part: ' || l_partkey, chr(10) || chr(10) order by l_linenumber, cast(l_partkey as varchar)) as content, cast(count(*) as bigint) as n from lineitem group by 1")
