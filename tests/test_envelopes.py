@@ -174,7 +174,7 @@ def test_directory_to_envelope(spark, tmp_path):
     got = ingest.ingest(files.read(spark, str(tmp_path), exclude=["link.txt"], limits=files.Limits(file_bytes=4000)), options=sections.Options(min_chars=0), stored=lambda rows: rows.cache())
     assert {(r.filename, r.error_code) for r in got.failed.collect()} == {("bad.json", "extraction-failed"), ("big.txt", "security-rejected")}
     assert sorted((r.title or "", r.content) for r in got.items.where("array_key = 'resources'").collect()) == [("T", "# T\nbody of the text"), ("b.csv", "h: 1\n\nh: 2")]
-    assert tuple(got.report.first()) == (2, 2, 3, 2, 8) and got.items.where("array_key = 'instructions'").count() == 1
+    assert tuple(got.report.first()) == (2, 2, 3, 2, 8, 0) and got.items.where("array_key = 'instructions'").count() == 1
     with pytest.raises(Exception, match="input refused"):
         ingest.ingest(files.read(spark, str(tmp_path)), stop_on_error=True).failed.collect()
 

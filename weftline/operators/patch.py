@@ -126,7 +126,7 @@ def patched(document: Column, patch: Column, target: Column | None = None) -> Co
     """struct<document, failed_at, message> of JSON texts. target: the id that a patch is for; one of another document is refused whole."""
     if target is not None:
         own = F.get_json_object(document, "$.id")
-        wrong = F.coalesce(target, F.lit("")).isin("").eqNullSafe(F.lit(False)) & ~target.eqNullSafe(own)
+        wrong = (F.coalesce(target, F.lit("")) != "") & ~target.eqNullSafe(own)
         refused = F.struct(F.lit(None).cast("string").alias("document"), F.lit(None).cast("int").alias("failed_at"), F.concat(F.lit("patch for "), target, F.lit(" doesn't match "), F.coalesce(own, F.lit("a document without id"))).alias("message"))
         return F.when(wrong, refused).otherwise(patched(document, patch))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,23 +53,33 @@ def detect(inputs: DataFrame, jsonl_extension_wins: bool = False) -> DataFrame:
 
     Twelve extractors score each input: bytes 100, declared type 60 or the name's 40, extension 20, both together 5.
     """
-    sniffed, named = sniff(F.col("content")), media_type_of_name(F.col("filename"))
-    typed = inputs.withColumns({"_sniffed": sniffed, "_type": F.coalesce(sniffed, F.col("declared"), named), "_ext": extension(F.col("filename"))})
-    weight = F.when(F.col("_sniffed").isNotNull(), 100).when(F.col("declared").isNotNull(), 60).otherwise(40)
-
-    def candidate(name: str, media: tuple[str, ...], ends: tuple[str, ...]) -> Column:
-        base = F.when(F.coalesce(F.col("_type").isin(*media), F.lit(False)), weight).otherwise(0) + F.when(F.coalesce(F.col("_ext").isin(*ends), F.lit(False)), 20).otherwise(0)
-        if name == "jsonl" and jsonl_extension_wins:
-            base = base + F.when(F.coalesce(F.col("_ext").isin(*ends), F.lit(False)), 200).otherwise(0)
-        confirmed = F.coalesce(F.col("_ext").isin(*ends), F.lit(False)) | F.coalesce(F.col("declared").isin(*media), F.lit(False))
-        return F.struct((base + F.when(confirmed & (base > 0), 5).otherwise(0)).alias("score"), F.lit(name).alias("id"))
-
-    scored = F.sort_array(F.filter(F.array(*[candidate(*e) for e in EXTRACTORS]), lambda c: c["score"] > 0), asc=False)
-    out = typed.withColumn("_c", scored)
-    first, second = F.get("_c", F.lit(0)), F.get("_c", F.lit(1))
-    tie = first["score"] == second["score"]
-    error = F.when(first.isNull(), "unsupported").when(tie, "ambiguous")
-    return out.withColumns({"extractor": F.when(error.isNull(), first["id"]), "score": first["score"], "error": error}).drop("_sniffed", "_type", "_ext", "_c")
+    def judged(t: Column) -> Column:
+        weight = F.when(t["sniffed"].isNotNull(), 100).when(t["declared"].isNotNull(), 60).otherwise(40)
+        media_type = F.coalesce(t["sniffed"], t["declared"], t["named"])
+        within = lambda c, values: F.coalesce(c.isin(*values), F.lit(False))
+
+        def candidate(name: str, media: tuple[str, ...], ends: tuple[str, ...]) -> Column:
+            base = F.when(within(media_type, media), weight).otherwise(0) + F.when(within(t["ext"], ends), 20).otherwise(0)
+            if name == "jsonl" and jsonl_extension_wins:
+                base = base + F.when(within(t["ext"], ends), 200).otherwise(0)
+            confirmed = within(t["ext"], ends) | within(t["declared"], media)
+            return F.struct((base + F.when(confirmed & (base > 0), 5).otherwise(0)).alias("score"), F.lit(name).alias("id"))
+
+        return once(F.sort_array(F.filter(F.array(*[candidate(*e) for e in EXTRACTORS]), lambda c: c["score"] > 0), asc=False), chosen)
+
+    def chosen(scored: Column) -> Column:
+        first, second = F.get(scored, F.lit(0)), F.get(scored, F.lit(1))
+        error = F.when(first.isNull(), "unsupported").when(first["score"] == second["score"], "ambiguous")
+        return F.struct(F.when(error.isNull(), first["id"]).alias("extractor"), first["score"].alias("score"), error.alias("error"))
+
+    seen = F.struct(sniff(F.col("content")).alias("sniffed"), media_type_of_name(F.col("filename")).alias("named"), extension(F.col("filename")).alias("ext"), F.col("declared").alias("declared"))
+    out = inputs.withColumn("_d", once(seen, judged))
+    return out.withColumns({k: F.col(f"_d.{k}") for k in ("extractor", "score", "error")}).drop("_d")
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value written once, however the optimizer joins projections."""
+    return F.transform(F.array(value), body)[0]
 
 
 def decode(content: Column, tolerant: bool = False, most_invalid: float = 0.05) -> tuple[Column, Column]:

@@ -6,13 +6,9 @@ error becomes the row's `error`, not the job's. Text and JSON lines stay in buil
 
 from __future__ import annotations
 
-import contextlib
-import io
 import json
 import re
 import xml.etree.ElementTree as ET
-import zipfile
-import zlib
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -21,17 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.sources.files import deadline
+from weftline.sources.office import open_archive, parse_docx, parse_pdf, parse_pptx, parse_xlsx  # noqa: F401
+from weftline.sources.sections import SECTION, listed, section, warn, warnings_now
 
-SECTION = "struct<pos:int,title:string,section:string,content:string,row:int,page:int>"
-RESULT = f"struct<title:string,sections:array<{SECTION}>,error:string>"
-
-
-def _section(pos: int, content: str, title: str | None = None, section: str | None = None, row: int | None = None, page: int | None = None) -> dict:
-    return {"pos": pos, "title": title, "section": section, "content": content, "row": row, "page": page}
-
-
-def _listed(parts: list[dict]) -> list[dict]:
-    return [p | {"pos": i} for i, p in enumerate(parts)]
+RESULT = f"struct<title:string,sections:array<{SECTION}>,error:string,warnings:array<struct<code:string,message:string>>>"
 
 
 def parse_markdown(text: str) -> tuple[str | None, list[dict]]:
@@ -47,17 +36,17 @@ def parse_markdown(text: str) -> tuple[str | None, list[dict]]:
         groups[-1][2].append(line)
     kept = [g for g in groups if any(x.strip() for x in g[2])]
     title = next((t for t, level, _ in kept if level == 1), None)
-    return title, _listed([_section(0, "\n".join(rows).strip(), t, t) for t, _, rows in kept])
+    return title, listed([section(0, "\n".join(rows).strip(), t, t) for t, _, rows in kept])
 
 
 def parse_json(text: str) -> tuple[str | None, list[dict]]:
     value = json.loads(text)
     show = lambda v: v if isinstance(v, str) else json.dumps(v, indent=2, ensure_ascii=False)
     if isinstance(value, list):
-        return None, [_section(i, show(v), section=f"$[{i}]") for i, v in enumerate(value)]
+        return None, [section(i, show(v), section=f"$[{i}]") for i, v in enumerate(value)]
     if isinstance(value, dict):
-        return None, _listed([_section(0, show(v), k, f"$.{k}") for k, v in value.items()])
-    return None, [_section(0, show(value), section="$")]
+        return None, listed([section(0, show(v), k, f"$.{k}") for k, v in value.items()])
+    return None, [section(0, show(value), section="$")]
 
 
 def delimited_rows(text: str, delimiter: str) -> list[list[str]]:
@@ -98,7 +87,7 @@ def parse_delimited(text: str, delimiter: str = ",") -> tuple[str | None, list[d
         return None, []
     head = [h or f"col{k + 1}" for k, h in enumerate(rows[0])]
     show = lambda r: "\n".join(f"{h}: {r[k] if k < len(r) else ''}" for k, h in enumerate(head))
-    return None, [_section(i, show(r), row=i + 2) for i, r in enumerate(rows[1:])]
+    return None, [section(i, show(r), row=i + 2) for i, r in enumerate(rows[1:])]
 
 
 class _Html(HTMLParser):
@@ -175,7 +164,7 @@ def parse_html(text: str) -> tuple[str | None, list[dict]]:
         joined = re.sub(r"\n{3,}", "\n\n", "\n\n".join(body)).strip()
         content = "\n\n".join(x for x in (heading, joined) if x) if heading else joined
         if content:
-            parts.append(_section(0, content, heading, heading))
+            parts.append(section(0, content, heading, heading))
         body.clear()
 
     for tag, inner in parser.found:
@@ -191,7 +180,7 @@ def parse_html(text: str) -> tuple[str | None, list[dict]]:
         elif value:
             body.append(f"- {value}" if tag == "li" else value)
     flush()
-    return ("".join(parser.title or []).strip() or None), _listed(parts)
+    return ("".join(parser.title or []).strip() or None), listed(parts)
 
 
 def parse_xml(text: str) -> tuple[str | None, list[dict]]:
@@ -206,7 +195,7 @@ def parse_xml(text: str) -> tuple[str | None, list[dict]]:
         node, path = stack.pop()
         own = " ".join(x for x in [(node.text or "").strip(), *[(c.tail or "").strip() for c in node]] if x)
         if own:
-            parts.append(_section(0, own, section=path))
+            parts.append(section(0, own, section=path))
         seen: dict[str, int] = {}
         children = []
         many = {c.tag for c in node if sum(d.tag == c.tag for d in node) > 1} if len(node) < 200 else {c.tag for c in node}
@@ -214,121 +203,51 @@ def parse_xml(text: str) -> tuple[str | None, list[dict]]:
             k = seen[child.tag] = seen.get(child.tag, -1) + 1
             children.append((child, f"{path}/{child.tag}" + (f"[{k}]" if child.tag in many else "")))
         stack += reversed(children)
-    return root.tag, _listed(parts)
+    return root.tag, listed(parts)
 
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+PARSERS: dict[str, Callable] = {"markdown": parse_markdown, "json": parse_json, "csv": parse_delimited, "tsv": lambda t: parse_delimited(t, "\t"), "html": parse_html, "xml": parse_xml, "docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx, "pdf": parse_pdf}
 
 
-def open_archive(data: bytes, most_entries: int = 10_000, most_ratio: float = 100.0, most_bytes: int = 500 << 20) -> zipfile.ZipFile:
-    """The archive if its directory is harmless: names, counts, sizes and ratios, before anything is unpacked."""
-    archive = zipfile.ZipFile(io.BytesIO(data))
-    entries = archive.infolist()
-    if len(entries) > most_entries or sum(e.file_size for e in entries) > most_bytes:
-        raise ValueError("archive too large")
-    for e in entries:
-        name = e.filename.replace("\\", "/")
-        if "\0" in name or name.startswith("/") or re.match("[a-zA-Z]:", name) or ".." in name.split("/") or e.file_size / max(1, e.compress_size) > most_ratio:
-            raise ValueError(f"archive entry {name[:80]} refused")
-    if "[Content_Types].xml" not in archive.namelist():
-        raise ValueError("not an office archive")
-    return archive
+class Registry:
+    """Extractors by name. A copy is a scope of its own; PARSERS is what a new one begins with."""
 
+    def __init__(self, parsers: dict[str, Callable] | None = None):
+        self._parsers = dict(PARSERS if parsers is None else parsers)
 
-def parse_docx(data: bytes) -> tuple[str | None, list[dict]]:
-    body = ET.fromstring(open_archive(data).read("word/document.xml")).find(f"{_W}body")
-    parts, heading, lines = [], None, []
+    def register(self, name: str, parser: Callable) -> Registry:
+        """Adds an extractor, or replaces the one of that name."""
+        self._parsers[name] = parser
+        return self
 
-    def flush() -> None:
-        content = "\n\n".join(x for x in [heading or "", *lines] if x)
-        if content:
-            parts.append(_section(0, content, heading, heading))
-        lines.clear()
+    def unregister(self, name: str) -> bool:
+        return self._parsers.pop(name, None) is not None
 
-    for node in body if body is not None else []:
-        if node.tag == f"{_W}tbl":
-            rows = [" | ".join("".join(t.text or "" for t in c.iter(f"{_W}t")) for c in r.iter(f"{_W}tc")) for r in node.iter(f"{_W}tr")]
-            lines.append("\n".join(rows))
-            continue
-        text = "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
-        style = next((s.get(f"{_W}val") or "" for s in node.iter(f"{_W}pStyle")), "")
-        if re.match(r"(?i)heading\s*[1-6]|title", style) and text:
-            flush()
-            heading = text
-        elif text:
-            lines.append(f"- {text}" if node.find(f".//{_W}numPr") is not None else text)
-    flush()
-    return None, _listed(parts)
-
-
-def parse_pptx(data: bytes) -> tuple[str | None, list[dict]]:
-    archive = open_archive(data)
-    slides = sorted((int(m[1]), n) for n in archive.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-    parts = []
-    for number, name in slides:
-        title, lines = None, []
-        for shape in ET.fromstring(archive.read(name)).iter(f"{_P}sp"):
-            kind = next((p.get("type") for p in shape.iter(f"{_P}ph")), None)
-            texts = ["".join(t.text or "" for t in p.iter(f"{_A}t")).strip() for p in shape.iter(f"{_A}p")]
-            if kind in ("title", "ctrTitle") and title is None:
-                title = " ".join(t for t in texts if t) or None
-            else:
-                lines += [t for t in texts if t]
-        parts.append(_section(0, "\n".join(x for x in [title or "", *lines] if x), title, f"slide {number}", page=number))
-    return None, _listed(parts)
+    def get(self, name: str) -> Callable | None:
+        return self._parsers.get(name)
 
+    def names(self) -> list[str]:
+        return sorted(self._parsers)
 
-def parse_xlsx(data: bytes, batch: int = 50) -> tuple[str | None, list[dict]]:
-    archive = open_archive(data)
-    shared = [] if "xl/sharedStrings.xml" not in archive.namelist() else ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ET.fromstring(archive.read("xl/sharedStrings.xml"))]
-    parts = []
-    for name in sorted(n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
-        rows = []
-        for r in ET.fromstring(archive.read(name)).iter(f"{_S}row"):
-            cells = []
-            for c in r.iter(f"{_S}c"):
-                value = c.findtext(f"{_S}v") or "".join(t.text or "" for t in c.iter(f"{_S}t"))
-                value = shared[int(value)] if c.get("t") == "s" and value else value
-                formula = c.findtext(f"{_S}f")
-                value = f"={formula} ({value})" if formula else value
-                cells.append("'" + value if re.match(r"[=+\-@\t\r]", value) else value)
-            rows.append(cells)
-        for k in range(1, len(rows), batch):
-            lines = ["\n".join(f"{h or f'col{i + 1}'}: {r[i] if i < len(r) else ''}" for i, h in enumerate(rows[0])) for r in rows[k : k + batch]]
-            parts.append(_section(0, "\n\n".join(lines), section=name.rsplit("/", 1)[-1][:-4], row=k + 1))
-    return None, _listed(parts)
-
-
-def parse_pdf(data: bytes, most_pages: int = 2000) -> tuple[str | None, list[dict]]:
-    """Text shown by plain string operators of unencrypted, uncompressed or deflated streams: a subset of the format."""
-    if not data.startswith(b"%PDF-"):
-        raise ValueError("not a PDF")
-    parts = []
-    for m in re.finditer(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        try:
-            body = zlib.decompress(m[2]) if b"FlateDecode" in m[1] else m[2]
-        except zlib.error:
-            continue
-        lines = []
-        for shown in re.finditer(rb"\(((?:\\.|[^\\()])*)\)\s*Tj|\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ", body, re.S):
-            raw = shown[1] if shown[1] is not None else b"".join(x for x in re.findall(rb"\(((?:\\.|[^\\()])*)\)", shown[2], re.S))
-            lines.append(re.sub(rb"\\([()\\])", rb"\1", raw).decode("latin-1"))
-        if lines and len(parts) < most_pages:
-            parts.append(_section(0, "\n".join(lines), page=len(parts) + 1))
-    return None, _listed(parts)
-
-
-PARSERS: dict[str, Callable] = {"markdown": parse_markdown, "json": parse_json, "csv": parse_delimited, "tsv": lambda t: parse_delimited(t, "\t"), "html": parse_html, "xml": parse_xml, "docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx, "pdf": parse_pdf}
+    def copy(self) -> Registry:
+        return Registry(self._parsers)
 
 
 def register(name: str, parser: Callable) -> None:
-    """Adds an extractor, or replaces the one of that name."""
+    """Adds an extractor for all registries that begin from now on, or replaces the one of that name."""
     PARSERS[name] = parser
 
 
+def _parsed(parser: Callable, given: str | bytes) -> tuple[str | None, list[dict], list[dict]]:
+    """title, sections, warnings of a document; blank texts say so."""
+    warnings_now()
+    title, sections = parser(given)
+    said = warnings_now()
+    if not any(s["content"].strip() for s in sections) and not any(w["code"] == "empty-content" for w in said):
+        said.append({"code": "empty-content", "message": "no text was found"})
+    return title, sections, said
+
+
 def extract(content: Column, name: str, most_chars: int = 20 << 20) -> Column:
     """struct<title, sections, error> of a text (or binary, for office formats and PDF)."""
     parser = PARSERS[name]
@@ -340,11 +259,11 @@ def extract(content: Column, name: str, most_chars: int = 20 << 20) -> Column:
             try:
                 if text is not None and len(text) > most_chars:
                     raise ValueError("too large")
-                title, sections = parser(text) if text is not None else (None, [])
-                rows.append((title, sections, None))
+                title, sections, said = _parsed(parser, text) if text is not None else (None, [], [])
+                rows.append((title, sections, None, said))
             except Exception as e:  # noqa: BLE001  (whatever a parser meets is the document's error)
-                rows.append((None, [], f"{type(e).__name__}: {e}"[:300]))
-        return pd.DataFrame(rows, columns=["title", "sections", "error"])
+                rows.append((None, [], f"{type(e).__name__}: {e}"[:300], []))
+        return pd.DataFrame(rows, columns=["title", "sections", "error", "warnings"])
 
     return run(content)
 
@@ -354,19 +273,27 @@ TEXT_FORMATS = ("text", "markdown", "json", "jsonl", "csv", "tsv", "html", "xml"
 
 def _jsonl(text: str) -> tuple[str | None, list[dict]]:
     found = []
-    for line in re.split(r"\r\n|\r|\n", text):
+    for number, line in enumerate(re.split(r"\r\n|\r|\n", text), 1):
         if line.strip():
-            with contextlib.suppress(ValueError):
-                found.append(_section(0, json.dumps(json.loads(line), indent=2, ensure_ascii=False), section=f"$[{len(found)}]"))
-    return None, _listed(found)
+            try:
+                value = json.loads(line)
+            except ValueError as e:
+                warn("malformed-content", f"line {number} was skipped: {e}"[:200])
+            else:
+                found.append(section(0, json.dumps(value, indent=2, ensure_ascii=False), section=f"$[{len(found)}]"))
+    return None, listed(found)
 
 
-def extract_any(content: Column, text: Column, extractor: Column, most_chars: int = 20 << 20, most_sections: int = 50_000, seconds: float = 60.0, ocr: Callable[[bytes], list[str]] | None = None) -> Column:
-    """struct<title, sections, error> of inputs of mixed formats: text formats read text, the others content.
+def extract_any(content: Column, text: Column, extractor: Column, most_chars: int = 20 << 20, most_sections: int = 50_000, seconds: float = 60.0, ocr: Callable[[bytes, int], str] | None = None, registry: Registry | None = None) -> Column:
+    """struct<title, sections, error, warnings> of inputs of mixed formats: text formats read text, the others content.
 
-    ocr gives the page texts of a PDF in which no text was found. A parser that takes too long fails its own document.
+    ocr gives the text of a PDF's page in which no text was found. A parser that takes too long fails its own document.
+    registry: extractors other than the usual ones.
     """
-    parsers = {**PARSERS, "text": lambda t: (None, [_section(0, t)]), "jsonl": _jsonl}
+    own = {n: (registry or Registry()).get(n) for n in (registry or Registry()).names()}
+    parsers = {"text": lambda t: (None, [section(0, t)]), "jsonl": _jsonl, **own}
+    if ocr is not None and parsers.get("pdf") is parse_pdf:
+        parsers["pdf"] = lambda data: parse_pdf(data, ocr=ocr)
 
     @F.pandas_udf(RESULT)
     def run(contents: pd.Series, texts: pd.Series, names: pd.Series) -> pd.DataFrame:
@@ -379,15 +306,15 @@ def extract_any(content: Column, text: Column, extractor: Column, most_chars: in
                 if len(given) > most_chars:
                     raise ValueError("too large")
                 with deadline(seconds):
-                    title, sections = parsers[name](given)
-                    if name == "pdf" and not sections and ocr is not None:
-                        sections = _listed([_section(0, t, page=i + 1) for i, t in enumerate(ocr(given)) if t.strip()])
+                    if name not in parsers:
+                        raise ValueError(f"no extractor {name!r}")
+                    title, sections, said = _parsed(parsers[name], given)
                 if len(sections) > most_sections:
                     raise ValueError("too many sections")
-                rows.append((title, sections, None))
+                rows.append((title, sections, None, said))
             except Exception as e:  # noqa: BLE001  (whatever a parser meets is the document's error)
-                rows.append((None, [], f"{type(e).__name__}: {e}"[:300]))
-        return pd.DataFrame(rows, columns=["title", "sections", "error"])
+                rows.append((None, [], f"{type(e).__name__}: {e}"[:300], []))
+        return pd.DataFrame(rows, columns=["title", "sections", "error", "warnings"])
 
     return run(content, text, extractor)
 
