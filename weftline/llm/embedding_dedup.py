@@ -246,8 +246,10 @@ def link_counts(nodes: DataFrame, components: DataFrame, settings: Settings) ->
 def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """vec_id, n_links, component_id, kept for each row."""
     rows = cut(stored(vectors))
-    usable = rows.where("vec is not null and vec_id is not null")
-    nodes = cut(usable.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("m")).select(F.col("least").alias("u"), "m", "vec"))
+    usable = rows.where("vec is not null")
+    # a vector whose rows have no id goes by a hash of it
+    nodes = cut(usable.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("m")).select(F.coalesce(F.col("least").cast("long"), F.xxhash64("vec")).alias("u"), "m", "vec"))
+    nameless = bool(usable.where("vec_id is null").limit(1).count())
     # a repeated id with two vectors would be one node twice: such nodes are told apart by a hash
     twice = nodes.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
     if twice:
@@ -273,7 +275,7 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> Data
             break
     counts = cut(link_counts(nodes, components, settings))
     named = nodes.join(components, "u").join(counts, "u", "left")
-    if twice:
+    if twice or nameless:
         ids = usable.groupBy("vec").agg(F.min("vec_id").alias("least"))
         named = named.join(ids, "vec")
     else:
