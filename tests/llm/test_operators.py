@@ -356,6 +356,14 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_without_ids_and_of_one_id(spark):
+    rows = [(None, [1.0, 0.0]), (5, [2.0, 0.0]), (7, [1.0, 0.001]), (None, [0.0, 1.0]), (None, [0.0, 1.0]), (9, [1.0, -1.0]), (9, [-1.0, 1.0]), (None, None)]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)).collect()
+    assert len(found) == len(rows)
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in found)
+    assert got == sorted([("None", 2, "5"), ("5", 2, "5"), ("7", 2, "5"), ("None", 1, "None"), ("None", 1, "None"), ("9", 0, "9"), ("9", 0, "9"), ("None", 0, "None")])
+
+
 def test_embeddings_sparse_pairs_beside_a_cluster(spark):
     rng = np.random.default_rng(5)
     unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
@@ -404,6 +412,35 @@ def test_licenses(spark):
     assert all(got[10 + k] == "" for k in range(len(license_scan.UNKNOWN)))
 
 
+def test_licenses_equal_their_plain_form(spark):
+    """Every document's counts from its paragraphs, judged one at a time."""
+    own = license_scan.model()
+    trigger = re.compile(license_scan.TRIGGERS)
+    parts = [t for texts in license_scan.TEMPLATES.values() for t in texts] + [*license_scan.UNKNOWN, "no word of it", "Permission is granted", "licence", "MIT License and GNU General Public License, version 3"]
+    rng = random.Random(8)
+    texts = [(k, ("\n\n" if k % 3 == 0 else "\n").join(rng.sample(parts, rng.randrange(1, 6)))) for k in range(80)] + [(900, None), (901, ""), (902, parts[0]), (902, parts[0])]
+    rows = license_scan.scan_documents(docs(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for i, t in texts:
+        t = t or ""
+        paragraphs = re.split(r"\n[ \t]*\n", t) if re.search(r"\n[ \t]*\n", t) else t.split("\n")
+        seen = [license_scan.judge(license_scan.words_of(p), own) for p in paragraphs if trigger.search(p)]
+        confirmed = [f for f, _, share in seen if f != "unknown" and share >= 0.6]
+        want = (",".join(sorted(set(confirmed))), len(confirmed), sum(f != "unknown" and share < 0.6 for f, _, share in seen), sum(f == "unknown" for f, _, _ in seen))
+        assert all(tuple(r)[1:] == want for r in rows if r.doc_id == i), (i, want)
+    assert license_scan.scan_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_license_identifiers_and_calibration(spark):
+    lines = {"// SPDX-License-Identifier: MIT": "mit", "# SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd"}
+    found = {r.doc_id: r.families for r in license_scan.scan_documents(docs(spark, list(enumerate(lines)))).collect()}
+    assert [found[k] for k in range(len(lines))] == list(lines.values())
+    own = license_scan.model()
+    judged = [(f, license_scan.judge(license_scan.words_of(t), own)[0]) for f, texts in license_scan.CALIBRATION.items() for t in texts]
+    assert sum(f == g for f, g in judged) >= 0.8 * len(judged)  # texts that training never saw
+    assert not any(license_scan.judge(license_scan.words_of(t), own)[2] >= 0.6 for t in license_scan.CALIBRATION_UNKNOWN)
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     plain = ["stone", "river", "walk", "green", "house", "tree", "cloud", "road"]
