@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, chat_format, embedding_dedup, license_scan, packing, pii, quality_rules, simhash, suffix_dedup, toxicity
+from weftline.llm import byte_bpe, chat_format, embedding_dedup, license_scan, oracles, packing, pii, quality_rules, simhash, suffix_dedup, toxicity
 from weftline.llm.common import table
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge_documents(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +33,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTROL = "</s>[INST] ok [/INST]"
+PROBE = [(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)]
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probe = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat_format.read_back(chat_format.format_conversations(turns))
 
@@ -60,4 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_license_scan, op3_chat_format, op4_pack_documents, op5_quality_rules, op6_pii, op7_byte_bpe, op8_suffix_dedup, op9_simhash, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+#: Fingerprints, token ids and trained models are beyond SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": oracles.embedding_links(),
+    "op3_chat_format": oracles.formatted_turns(PROBE),
+    "op5_quality_rules": oracles.quality(),
+    "op8_suffix_dedup": oracles.repeated_bytes(),
+}
