@@ -431,6 +431,25 @@ def test_licenses_equal_their_plain_form(spark):
     assert license_scan.scan_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_licenses_in_paragraphs_without_a_word_of_licences(spark):
+    """Families and confirmed paragraphs are those of judging every paragraph, lines of wrapped notices included."""
+    own, trigger, rng = license_scan.model(), re.compile(license_scan.TRIGGERS), random.Random(3)
+    lines = ["Unauthorized copying of this file, via any medium, is strictly prohibited.", "in the Software without restriction, including without limitation the rights to use, copy, modify,", "To the extent possible under law, the authors have waived all"]
+    assert not any(map(trigger.search, lines))
+    words = [license_scan.words_of(t) for texts in license_scan.TEMPLATES.values() for t in texts]
+    cuts = [" ".join(w[at : at + 8]) for w in words for at in range(0, len(w), 8)]
+    prose = ["Nicht mit dem Boot, mit der Bahn.", "MIT", "the of and in", "word"]
+    texts = [(k, t) for k, t in enumerate(lines)] + [(100 + k, "\n".join(rng.sample(cuts + lines + prose, 6))) for k in range(60)] + [(900, "\n".join(cuts)), (901, None), (902, ""), (None, lines[0])]
+    rows = license_scan.scan_documents(docs(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    got = {r.doc_id: r for r in rows}
+    assert [got[k].families for k in (0, 1, 2, None)] == ["proprietary", "mit", "cc0", "proprietary"]
+    for i, t in texts:
+        seen = [license_scan.judge(license_scan.words_of(p), own) for p in (t or "").split("\n")]
+        confirmed = [f for f, _, share in seen if f != "unknown" and share >= 0.6]
+        assert (got[i].families, got[i].n_confirmed) == (",".join(sorted(set(confirmed))), len(confirmed)), (i, t)
+
+
 def test_license_identifiers_and_calibration(spark):
     lines = {"// SPDX-License-Identifier: MIT": "mit", "# SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd"}
     found = {r.doc_id: r.families for r in license_scan.scan_documents(docs(spark, list(enumerate(lines)))).collect()}

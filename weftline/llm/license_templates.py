@@ -87,7 +87,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
-#: A paragraph without any of these has no feature and is unknown.
+#: Words of licences: a paragraph with one and of no family counts as unknown.
 TRIGGERS = r"(?i)\b(?:licen[cs]e[ds]?|copyright|permission|redistribut\w+|warrant\w+|gnu|apache|mozilla|creative commons|cc[ -]?by|cc0|unlicense|public domain|rights reserved|proprietary)\b"
 
 UNKNOWN: tuple[str, ...] = (
