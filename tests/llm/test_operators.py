@@ -277,6 +277,17 @@ def test_suffix_dedup(spark, size):
     assert suffix_dedup.digest_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_suffix_messages_are_for_several_blocks(spark):
+    """A row from each bucket to each block would grow with the square of the input."""
+    rng = random.Random(5)
+    passages = ["".join(rng.choice("abcdefghij ") for _ in range(70)) for _ in range(300)]
+    texts = [(k, "|".join(rng.sample(passages, 300)) + f" {k}") for k in range(24)]
+    blocks = suffix_dedup.blocks_of(docs(spark, texts, 1).select("doc_id", "text"), 1000)
+    assert blocks.count() == len(texts)
+    messages = suffix_dedup.repeated_spans(blocks)
+    assert messages.count() <= 0.7 * 2 * 64 * len(texts)  # two passes of 64 buckets
+
+
 def plain_print(text):
     words = (text or "").encode().lower().split()
     if not words:
