@@ -288,6 +288,18 @@ def test_suffix_messages_are_for_several_blocks(spark):
     assert messages.count() <= 0.7 * 2 * 64 * len(texts)  # two passes of 64 buckets
 
 
+def test_suffix_digits_are_dealt_evenly(spark, monkeypatch):
+    """Hashes of anchors are the least of many: dealt by their own leading bits, most would meet in the first bucket."""
+    rng, rows, deal = random.Random(6), [], suffix_dedup._by_bucket
+    monkeypatch.setattr(suffix_dedup, "_by_bucket", lambda found, settle: rows.append(found.select("bucket", "data").collect()) or deal(found, settle))
+    texts = [(k, "".join(rng.choice("abcdefghij ") for _ in range(20000))) for k in range(4)]
+    suffix_dedup.repeated_spans(suffix_dedup.blocks_of(docs(spark, texts).select("doc_id", "text")))
+    sizes = Counter()
+    for r in rows[0]:
+        sizes[r.bucket] += int.from_bytes(r.data[:4], "little")
+    assert max(sizes.values()) <= 4 * sum(sizes.values()) / 64
+
+
 def plain_print(text):
     words = (text or "").encode().lower().split()
     if not words:
