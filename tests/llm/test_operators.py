@@ -299,6 +299,33 @@ def test_suffix_digits_are_dealt_evenly(spark, monkeypatch):
         sizes[r.bucket] += int.from_bytes(r.data[:4], "little")
     assert max(sizes.values()) <= 4 * sum(sizes.values()) / 64
 
+def test_suffix_passes_read_a_block_or_so_at_a_time(spark, monkeypatch, tmp_path):
+    """Batches of all a task's rows are held several times over, and make executors large for good."""
+    rng, frame, log = random.Random(7), type(spark.range(0)), tmp_path / "sizes"
+    real = frame.mapInArrow
+
+    def spied(self, f, schema):
+        def run(batches):
+            def seen(batch):
+                with log.open("a") as out:
+                    out.write(f"{batch.num_rows} {batch.nbytes}\n")
+                return batch
+
+            return f(seen(b) for b in batches)
+
+        return real(self, run, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    texts = [(k, rng.randbytes(2000).hex()) for k in range(3000)] + [(3000, rng.randbytes(2 << 20).hex())]
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k, None) for k in names]
+    messages = suffix_dedup.repeated_spans(suffix_dedup.blocks_of(docs(spark, [*texts, (3001, texts[5][1])], 1).select("doc_id", "text")))
+    assert messages.count() and before == [spark.conf.get(k, None) for k in names]
+    sizes = [tuple(map(int, line.split())) for line in log.read_text().splitlines()]
+    assert sum(n for _, n in sizes) > 12e6
+    assert all(rows == 1 or size < 2 * suffix_dedup.BLOCK + (4 << 20) for rows, size in sizes)
+
+
 
 def plain_print(text):
     words = (text or "").encode().lower().split()
