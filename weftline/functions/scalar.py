@@ -12,7 +12,14 @@ _SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "^" + _SPACE, ""), _SPACE + "$", "")
+    """The pattern of the end is tried at every space of a text, so only texts that end with one are searched."""
+    left = F.regexp_replace(text, "^" + _SPACE, "")
+    return F.when(F.right(left, F.lit(1)).rlike(_SPACE), F.regexp_replace(left, _SPACE + "$", "")).otherwise(left)
+
+
+def has_text(text: Column) -> Column:
+    """Whether a trim would leave something."""
+    return text.rlike("[^" + _SPACE[1:-1])
 
 
 def units(text: Column, utf16: bool = False) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.scalar import trim_all
+from weftline.functions.scalar import has_text, trim_all
 
 _ABBREVIATION = r"(?i)\b(mr|mrs|ms|dr|prof|sr|jr|vs|etc|e\.g|i\.e|inc|ltd|co)\.$"
 
@@ -138,5 +138,12 @@ def strategy(page: Column, slide: Column, row: Column, titled: Column) -> Column
 
 def numbered(chunks: Column, doc_id: Column, content_hash: Column) -> Column:
     """array<struct<id, index, total, content, tokens>> of a document's chunks, exact repeats left out."""
-    kept = F.array_distinct(F.filter(chunks, lambda c: trim_all(c) != ""))
-    return F.transform(kept, lambda c, i: F.struct(F.concat(doc_id, F.lit(":chunk:"), F.substring(content_hash, 1, 12), F.lit(":"), i.cast("string")).alias("id"), i.alias("index"), F.size(kept).alias("total"), c.alias("content"), F.ceil(F.length(c) / 4).cast("long").alias("tokens")))
+    kept = F.array_distinct(F.filter(chunks, has_text))
+    # bound once a document: in the lambda over its chunks they would be worked out again for each of these
+    one = F.struct(kept.alias("kept"), F.concat(doc_id, F.lit(":chunk:"), F.substring(content_hash, 1, 12), F.lit(":")).alias("name"))
+
+    def number(d: Column) -> Column:
+        total = F.size(d["kept"])
+        return F.transform(d["kept"], lambda c, i: F.struct(F.concat(d["name"], i.cast("string")).alias("id"), i.alias("index"), total.alias("total"), c.alias("content"), F.ceil(F.length(c) / 4).cast("long").alias("tokens")))
+
+    return F.transform(F.array(one), number)[0]
