@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__  # noqa: F401  (registers the queries)
 from weftline import catalog
 from weftline.functions import scalar
-from weftline.operators import chunk
+from weftline.operators import chunk, combine
 
 
 def plan(df):
@@ -37,3 +37,12 @@ def test_sentences_of_long_keys_stay_whole(spark, tmp_path):
     found = catalog.QUERIES["sentence_chunks"](spark, str(tmp_path)).select("doc_id", "index", "content", "total").collect()
     sql = catalog.ORACLE_SQL["sentence_chunks"].replace("from orders", f"from '{tmp_path}/orders.parquet/*.parquet'")
     assert sorted(map(tuple, found)) == sorted(duckdb.sql(f'select doc_id, "index", content, total from ({sql})').fetchall())
+
+
+def test_only_compared_fields_are_read(spark):
+    a = '{"id":"e","objective":{"a":[1, 2],"b":1},"security":null,"facts":[{"id":"x"}]}'
+    b = '{"id":"e","objective":{"b":1,"a":[1,2]},"tokenPolicy":{"n":1},"facts":[]}'
+    before, after = (spark.createDataFrame([(d,), ("{broken",), (None,)], "document string") for d in (a, b))
+    changed = combine.changed_fields(before, after)
+    assert "MapType" not in plan(changed)
+    assert [tuple(r) for r in changed.collect()] == [("e", ["security", "tokenPolicy"])]
