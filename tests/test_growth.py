@@ -7,6 +7,7 @@ import __spark_entry__  # noqa: F401  (registers the queries)
 from weftline import catalog
 from weftline.functions import scalar
 from weftline.operators import chunk, combine
+from weftline.sources import extract
 
 
 def plan(df):
@@ -46,3 +47,16 @@ def test_only_compared_fields_are_read(spark):
     changed = combine.changed_fields(before, after)
     assert "MapType" not in plan(changed)
     assert [tuple(r) for r in changed.collect()] == [("e", ["security", "tokenPolicy"])]
+
+
+def test_inputs_reach_extractors_once_and_by_slices(spark):
+    kinds = ["text", "json", "csv", None, "nosuch"]
+    rows = [(i, f'["{i}"]', kinds[i % 5]) for i in range(2 * extract.SLICE + 7)]
+    rows = spark.createDataFrame(rows, "i int, t string, name string").coalesce(1)
+    made = rows.select("i", extract.extract_any(F.col("t").cast("binary"), F.col("t"), F.col("name")).alias("x"))
+    assert plan(made).count("CASE WHEN") == 2
+    for r in made.collect():
+        kind, x = kinds[r.i % 5], r.x
+        assert [s.content for s in x.sections] == {"text": [f'["{r.i}"]'], "json": [str(r.i)]}.get(kind, [])
+        assert x.error == {None: "ValueError: nothing to read", "nosuch": "ValueError: no extractor 'nosuch'"}.get(kind)
+        assert [w.code for w in x.warnings] == (["empty-content"] if kind == "csv" else [])
